@@ -19,13 +19,14 @@ def tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]
     return lending_tables(spark, sf_dir, exact=True, names=names)
 
 
-def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Round columns whose name contains one of the given markers."""
-    out = []
-    for name in df.columns:
-        places = [d for marker, d in digits.items() if marker in name]
-        out.append(F.round(name, places[0]).alias(name) if places else F.col(name))
-    return df.select(*out)
+def single(df: DataFrame, markers: tuple[str, ...]) -> DataFrame:
+    """Columns whose name contains a marker, in single precision."""
+    return df.select(
+        *[
+            F.col(n).cast("float").cast("double").alias(n) if any(m in n for m in markers) else n
+            for n in df.columns
+        ]
+    )
 
 
 def as_double(df: DataFrame) -> DataFrame:
@@ -40,11 +41,11 @@ def as_double(df: DataFrame) -> DataFrame:
     )
 
 
-# Means and sums of record-level means and shares, and deviations, depend on the
-# order of additions in their last digits.
-LOOSE = {"_STD_": 5}
-LOOSE_TIMELINE = {
-    f"credit_timeline_{name}_{stat}": 8
+# The last digits of these depend on the order of additions: deviations, and means
+# and sums of record-level means and shares.
+LOOSE = ("_STD_",)
+LOOSE_TIMELINE = tuple(
+    f"credit_timeline_{name}_{stat}"
     for name in ("agg_TIME_SINCE_ENTRY_mean", "PERCENT_CLOSED", "PERCENT_ACTIVE")
     for stat in ("mean", "sum")
-}
+)

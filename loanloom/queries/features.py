@@ -18,7 +18,7 @@ from loanloom.queries.common import (
     LOOSE,
     LOOSE_TIMELINE,
     as_double,
-    rounded,
+    single,
     table,
     tables,
 )
@@ -47,7 +47,7 @@ def _keys(name: str):
 
 
 def _features(module, name):
-    return lambda spark, sf: rounded(module.features(table(spark, sf, name)), LOOSE)
+    return lambda spark, sf: single(module.features(table(spark, sf, name)), LOOSE)
 
 
 def _numeric(name):
@@ -112,13 +112,13 @@ def timeline_unmapped(spark, sf):
 def timeline_final(spark, sf):
     t = tables(spark, sf, ["credit_timeline", "credit_summary"])
     final = credit_timeline.block(t["credit_timeline"], t["credit_summary"])
-    return rounded(final, LOOSE_TIMELINE)
+    return single(final, LOOSE_TIMELINE)
 
 
 def wide(spark, sf):
     """All features; the adapter labels lie inside their domains by construction."""
     out = wide_features(tables(spark, sf), closed_labels=True)
-    return as_double(rounded(out, {**LOOSE, **LOOSE_TIMELINE}))
+    return as_double(single(out, LOOSE + LOOSE_TIMELINE))
 
 
 QUERIES = {

@@ -1,5 +1,5 @@
 """All named queries."""
 
-from loanloom.queries import features
+from loanloom.queries import features, requests, rules
 
-QUERIES = {**features.QUERIES}
+QUERIES = {**features.QUERIES, **rules.QUERIES, **requests.QUERIES}

@@ -11,6 +11,7 @@ from oracle.build import (
     named,
     ratio0,
     share,
+    single,
     stats,
     std,
     total,
@@ -342,7 +343,7 @@ RECORD_TEXTS = [
 ]
 
 
-def customer_level() -> str:
+def customer_level(source: str = "mapped", key: str = C) -> str:
     out = []
     for x in RECORD_INTS:
         out += [
@@ -355,13 +356,24 @@ def customer_level() -> str:
         out += [
             f"min({x}) AS {x}_min",
             f"max({x}) AS {x}_max",
-            f"round({mean(x)}, 8) AS {x}_mean",
-            f"round({total(x)}, 8) AS {x}_sum",
+            f"{single(mean(x))} AS {x}_mean",
+            f"{single(total(x))} AS {x}_sum",
         ]
     modes = {f"{x}_most_frequent": x for x in RECORD_TEXTS}
-    return block("mapped", C, out, modes)
+    return block(source, key, out, modes)
 
 
+UNMAPPED = f"""
+SELECT records, count(value) AS "count", round({mean('value')}, 6) AS mean,
+ round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max,
+ round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+ round(quantile_cont(value, 0.75), 6) AS q75
+FROM (SELECT CASE WHEN m.CUSTOMER_ID IS NULL THEN 'unmapped' ELSE 'mapped' END AS records,
+  r.credit_timeline_agg_TIME_SINCE_ENTRY_mean AS value
+ FROM ({block("v_credit_timeline", "CREDIT_RECORD_ID", generic_stats("credit_timeline"), {})}) r
+ LEFT JOIN ({MAPPING}) m USING (CREDIT_RECORD_ID))
+GROUP BY records"""
+
 CARD_FEATURES = f"SELECT f.*, l.* EXCLUDE (CUSTOMER_ID) FROM ({block('v_card_activity', C, CARD, {})}) f LEFT JOIN ({LAST_N}) l USING (CUSTOMER_ID)"
 CARD_BLOCK = (
     "SELECT f.*, l.* EXCLUDE (CUSTOMER_ID) FROM ("
@@ -444,6 +456,7 @@ def oracle() -> dict[str, str]:
             )
         ),
         "record_customer_map": with_views(MAPPING),
+        "timeline_unmapped": with_views(UNMAPPED),
         "timeline_mapping": with_views(f"SELECT * FROM {MAPPED}"),
         "timeline_final": with_blocks("SELECT * FROM b_timeline", ["mapped", "b_timeline"]),
         "wide_features": with_blocks(WIDE, WIDE_NAMES),

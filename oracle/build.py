@@ -53,7 +53,11 @@ def flag(condition: str) -> str:
 
 
 def std(x: str) -> str:
-    return f"round(coalesce(stddev_samp(CAST({x} AS DOUBLE)), 0), 5)"
+    return single(f"coalesce(stddev_samp(CAST({x} AS DOUBLE)), 0)")
+
+
+def single(x: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
 
 
 def stats(prefix: str, ints: list[str], money: list[str]) -> list[str]:
@@ -77,24 +81,28 @@ def stats(prefix: str, ints: list[str], money: list[str]) -> list[str]:
     return out
 
 
+def keyed(key: str) -> str:
+    return " AND ".join(f"{k.strip()} IS NOT NULL" for k in key.split(","))
+
+
 def mode_of(source: str, key: str, column: str) -> str:
     return (
         f"SELECT {key}, {column} AS v FROM (SELECT {key}, {column}, row_number() OVER "
         f"(PARTITION BY {key} ORDER BY count(*) DESC, {column}) AS rn FROM {source} "
-        f"WHERE {column} IS NOT NULL AND {key} IS NOT NULL GROUP BY {key}, {column}) WHERE rn = 1"
+        f"WHERE {column} IS NOT NULL AND {keyed(key)} GROUP BY {key}, {column}) WHERE rn = 1"
     )
 
 
 def block(source: str, key: str, measures: list[str], modes: dict[str, str]) -> str:
     """SELECT of one row per key: measures plus most frequent values."""
     inner = ", ".join([key, *measures])
-    sql = f"SELECT {inner} FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}"
+    sql = f"SELECT {inner} FROM {source} WHERE {keyed(key)} GROUP BY {key}"
     if not modes:
         return sql
     columns, joins = ["b.*"], []
     for i, (alias, column) in enumerate(modes.items()):
         columns.append(f"coalesce(m{i}.v, 'Unknown') AS {alias}")
-        joins.append(f"LEFT JOIN ({mode_of(source, key, column)}) m{i} ON m{i}.{key} = b.{key}")
+        joins.append(f"LEFT JOIN ({mode_of(source, key, column)}) m{i} USING ({key})")
     return f"SELECT {', '.join(columns)} FROM ({sql}) b {' '.join(joins)}"
 
 

@@ -1,5 +1,5 @@
 """All oracle queries."""
 
-from oracle import blocks
+from oracle import blocks, requests, rules
 
-ORACLE = {**blocks.oracle()}
+ORACLE = {**blocks.oracle(), **rules.oracle(), **requests.oracle()}
