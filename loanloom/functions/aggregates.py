@@ -1,9 +1,9 @@
-"""Aggregate expressions with the null rules of the feature tables.
+"""Aggregate expressions with the null rules of the feature tables, as Spark SQL text.
 
 Sums of nothing are 0, means and extremes of nothing are NULL, comparisons with
-NULL count as false. Every builder returns a plain Spark ``Column``, so a whole
-block fits in one ``groupBy().agg()`` with fixed-width buffers: it stays a
-code-generated hash aggregate, combines map-side and can spill.
+NULL count as false. A whole block of them fits in one ``groupBy().agg()`` with
+fixed-width buffers: it stays a code-generated hash aggregate, combines map-side
+and can spill. Text keeps building a block of a hundred columns cheap.
 """
 
 from __future__ import annotations
@@ -13,54 +13,69 @@ from pyspark.sql import functions as F
 
 from loanloom.schemas import is_fractional, is_number
 
+ROWS = "count(1)"
 
-def ratio(numerator: Column, denominator: Column) -> Column:
+
+def quoted(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ratio(numerator: str, denominator: str) -> str:
     """a / b as DOUBLE; NULL when b is 0 or either side is NULL."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return f"try_divide(CAST({numerator} AS DOUBLE), CAST({denominator} AS DOUBLE))"
 
 
-def safe_ratio(numerator: Column, denominator: Column) -> Column:
+def safe_ratio(numerator: str, denominator: str) -> str:
     """a / b with every undefined result turned into 0."""
-    return F.coalesce(ratio(numerator, denominator), F.lit(0.0))
+    return f"coalesce({ratio(numerator, denominator)}, 0D)"
 
 
-def mean(name: str) -> Column:
+def mean(x: str) -> str:
     """Mean from sum and count, so it shares their buffers with other aggregates."""
-    return ratio(F.sum(name), F.count(name))
+    return ratio(f"sum({x})", f"count({x})")
 
 
-def total(name: str) -> Column:
-    return F.coalesce(F.sum(name).cast("double"), F.lit(0.0))
+def total(x: str) -> str:
+    return f"coalesce(CAST(sum({x}) AS DOUBLE), 0D)"
 
 
-def int_total(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0).cast("bigint"))
+def int_total(x: str) -> str:
+    return f"coalesce(sum({x}), 0L)"
 
 
-def highest(name: str) -> Column:
-    return F.max(name).cast("double")
+def highest(x: str) -> str:
+    return f"CAST(max({x}) AS DOUBLE)"
 
 
-def lowest(name: str) -> Column:
-    return F.min(name).cast("double")
+def lowest(x: str) -> str:
+    return f"CAST(min({x}) AS DOUBLE)"
 
 
-def deviation(name: str) -> Column:
+def deviation(x: str) -> str:
     """Sample standard deviation; a single value has none, which counts as 0."""
-    return F.coalesce(F.stddev_samp(F.col(name).cast("double")), F.lit(0.0))
+    return f"coalesce(stddev_samp(CAST({x} AS DOUBLE)), 0D)"
 
 
-def share(condition: Column) -> Column:
+def share(condition: str) -> str:
     """Share of all rows in the group, rows with NULL included."""
-    return F.count_if(condition) / F.count(F.lit(1))
+    return f"count_if({condition}) / {ROWS}"
+
+
+def any_flag(condition: str) -> str:
+    return f"CAST(coalesce(bool_or({condition}), false) AS INT)"
+
+
+def years(days: str) -> str:
+    return f"abs({days}) / 365D"
 
 
-def any_flag(condition: Column) -> Column:
-    return F.coalesce(F.bool_or(condition), F.lit(False)).cast("int")
+def measure(sql: str, name: str) -> Column:
+    return F.expr(sql).alias(name)
 
 
-def years(days: Column) -> Column:
-    return F.abs(days) / F.lit(365.0)
+def prefixed(prefix: str, measures: dict[str, str]) -> dict[str, str]:
+    return {f"{prefix}_{name}": sql for name, sql in measures.items()}
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -75,15 +90,18 @@ def text_columns(df: DataFrame, exclude=()) -> list[str]:
     ]
 
 
-def numeric_stats(df: DataFrame, names: list[str], prefix: str) -> list[Column]:
+def numeric_stats(df: DataFrame, names: list[str], prefix: str) -> dict[str, str]:
     """mean, sum, max and min of each column, named ``{prefix}_agg_{column}_{stat}``."""
-    out = []
+    schema, out = df.schema, {}
     for name in names:
-        stem = f"{prefix}_agg_{name}"
-        if is_fractional(df.schema[name].dataType):
-            stats = {"sum": total(name), "max": highest(name), "min": lowest(name)}
+        x, stem = f"`{name}`", f"{prefix}_agg_{name}"
+        out[f"{stem}_mean"] = mean(x)
+        if is_fractional(schema[name].dataType):
+            out |= {f"{stem}_sum": total(x), f"{stem}_max": highest(x), f"{stem}_min": lowest(x)}
         else:
-            stats = {"sum": int_total(name), "max": F.max(name), "min": F.min(name)}
-        out.append(mean(name).alias(f"{stem}_mean"))
-        out += [column.alias(f"{stem}_{stat}") for stat, column in stats.items()]
+            out |= {
+                f"{stem}_sum": int_total(x),
+                f"{stem}_max": f"max({x})",
+                f"{stem}_min": f"min({x})",
+            }
     return out

@@ -5,47 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.functions.aggregates import any_flag, int_total, mean, share
+from loanloom.functions.aggregates import any_flag, int_total, mean, prefixed, quoted, share
 from loanloom.functions.binning import loan_age_group
 from loanloom.operators.blocks.generic import modes_of, stats_of
 from loanloom.operators.grouped import grouped
 from loanloom.schemas import CUSTOMER, LABELS, LOAN
 
 PREFIX = "cash_pos"
-ACTIVE, COMPLETED, RETURNED = LABELS["CONTRACT_STATUS"]
-
-
-def with_age_group(df: DataFrame) -> DataFrame:
-    return df.withColumn("LOAN_AGE_GROUP", loan_age_group(F.col("TIME_SINCE_ENTRY")))
-
-
-def measures():
-    status, dpd = F.col("CONTRACT_STATUS"), F.col("DAYS_PAST_DUE")
-    columns = {
-        "NUM_POS_LOANS": F.count_distinct(LOAN),
-        "NUM_ACTIVE_POS_LOANS": F.count_if(status == ACTIVE),
-        "NUM_COMPLETED_POS_LOANS": F.count_if(status == COMPLETED),
-        "AVG_POS_CREDIT_DURATION": F.abs(mean("TIME_SINCE_ENTRY")) / F.lit(12.0),
-        "TIME_SINCE_LAST_POS_UPDATE": F.abs(F.max("TIME_SINCE_ENTRY")) / F.lit(12.0),
-        "AVG_REMAINING_INSTALLMENT_TIME": F.abs(mean("REMAINING_TERM_MONTHS")),
-        "NUM_OVERDUE_POS_CREDITS": F.count_if(dpd > 0),
+IS_ACTIVE, IS_COMPLETED, IS_RETURNED = (
+    f"CONTRACT_STATUS = {quoted(label)}" for label in LABELS["CONTRACT_STATUS"]
+)
+
+MEASURES = prefixed(
+    PREFIX,
+    {
+        "NUM_POS_LOANS": f"count(DISTINCT {LOAN})",
+        "NUM_ACTIVE_POS_LOANS": f"count_if({IS_ACTIVE})",
+        "NUM_COMPLETED_POS_LOANS": f"count_if({IS_COMPLETED})",
+        "AVG_POS_CREDIT_DURATION": f"abs({mean('TIME_SINCE_ENTRY')}) / 12D",
+        "TIME_SINCE_LAST_POS_UPDATE": "abs(max(TIME_SINCE_ENTRY)) / 12D",
+        "AVG_REMAINING_INSTALLMENT_TIME": f"abs({mean('REMAINING_TERM_MONTHS')})",
+        "NUM_OVERDUE_POS_CREDITS": "count_if(DAYS_PAST_DUE > 0)",
         "TOTAL_OVERDUE_DAYS_POS": int_total("DAYS_PAST_DUE"),
-        "MAX_OVERDUE_DAYS_POS": F.max("DAYS_PAST_DUE"),
-        "NUM_SEVERE_OVERDUE_POS": F.count_if(F.col("DAYS_PAST_DUE_90") > 0),
-        "PERCENT_ACTIVE_MONTHS": share(status == ACTIVE),
-        "HAS_RETURNED_CONTRACT": any_flag(status == RETURNED),
-    }
-    return [column.alias(f"{PREFIX}_{name}") for name, column in columns.items()]
-
-
+        "MAX_OVERDUE_DAYS_POS": "max(DAYS_PAST_DUE)",
+        "NUM_SEVERE_OVERDUE_POS": "count_if(DAYS_PAST_DUE_90 > 0)",
+        "PERCENT_ACTIVE_MONTHS": share(IS_ACTIVE),
+        "HAS_RETURNED_CONTRACT": any_flag(IS_RETURNED),
+    },
+)
 MODES = {
     f"{PREFIX}_agg_LOAN_AGE_GROUP_most_frequent": "LOAN_AGE_GROUP",
     f"{PREFIX}_MOST_COMMON_CONTRACT_STATUS": "CONTRACT_STATUS",
 }
 
 
+def with_age_group(df: DataFrame) -> DataFrame:
+    return df.withColumn("LOAN_AGE_GROUP", loan_age_group(F.col("TIME_SINCE_ENTRY")))
+
+
 def features(df: DataFrame, keys=(CUSTOMER,), closed_labels: bool = False) -> DataFrame:
-    return grouped(with_age_group(df), list(keys), measures(), MODES, closed_labels=closed_labels)
+    return grouped(with_age_group(df), list(keys), MEASURES, MODES, closed_labels=closed_labels)
 
 
 def block(df: DataFrame, keys=(CUSTOMER,), closed_labels: bool = False) -> DataFrame:
@@ -53,7 +52,7 @@ def block(df: DataFrame, keys=(CUSTOMER,), closed_labels: bool = False) -> DataF
     return grouped(
         with_age_group(df),
         keys,
-        stats_of(df, keys, PREFIX) + measures(),
+        {**stats_of(df, keys, PREFIX), **MEASURES},
         {**modes_of(df, keys, PREFIX), **MODES},
         closed_labels=closed_labels,
     )

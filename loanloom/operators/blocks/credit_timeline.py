@@ -9,6 +9,8 @@ from loanloom.functions.aggregates import (
     int_total,
     mean,
     numeric_columns,
+    prefixed,
+    quoted,
     share,
     text_columns,
     total,
@@ -19,8 +21,34 @@ from loanloom.operators.quantiles import describe
 from loanloom.schemas import CUSTOMER, LABELS, RECORD, UNKNOWN, is_fractional
 
 PREFIX = "credit_timeline"
-ON_TIME, DELAYED, DEFAULTED = LABELS["ACCOUNT_STATUS"]
 MONTH = "TIME_SINCE_ENTRY"
+ON_TIME, DELAYED, DEFAULTED = (quoted(label) for label in LABELS["ACCOUNT_STATUS"])
+IS_ON_TIME, IS_DELAYED, IS_DEFAULTED = (
+    f"ACCOUNT_STATUS = {label}" for label in (ON_TIME, DELAYED, DEFAULTED)
+)
+OVERDUE = f"count_if(ACCOUNT_STATUS IN ({DELAYED}, {DEFAULTED}))"
+# Worst overdue status of the group; 'On Time' when nothing was overdue.
+WORST = (
+    f"CASE WHEN count_if({IS_DEFAULTED}) > 0 THEN {DEFAULTED} "
+    f"WHEN count_if({IS_DELAYED}) > 0 THEN {DELAYED} ELSE {ON_TIME} END"
+)
+
+MEASURES = prefixed(
+    PREFIX,
+    {
+        "NUM_MONTHS": f"count({MONTH})",
+        "NUM_CLOSED_MONTHS": f"count_if({IS_DEFAULTED})",
+        "NUM_ACTIVE_MONTHS": f"count_if({IS_ON_TIME})",
+        "TOTAL_OVERDUE_MONTHS": OVERDUE,
+        "OLDEST_RECORD": f"min({MONTH})",
+        "MOST_RECENT_RECORD": f"max({MONTH})",
+        "CREDIT_HISTORY_LENGTH": f"max({MONTH}) - min({MONTH})",
+        "RECENT_OVERDUE_MONTHS": OVERDUE,
+        "MAX_OVERDUE_STATUS": WORST,
+        "PERCENT_CLOSED": share(IS_DEFAULTED),
+        "PERCENT_ACTIVE": share(IS_ON_TIME),
+    },
+)
 
 # Labels that can appear in the record-level result.
 RECORD_LABELS = {
@@ -30,34 +58,6 @@ RECORD_LABELS = {
 }
 
 
-def worst_status(status):
-    """Worst overdue status of the group; 'On Time' when nothing was overdue."""
-    return (
-        F.when(F.count_if(status == DEFAULTED) > 0, DEFAULTED)
-        .when(F.count_if(status == DELAYED) > 0, DELAYED)
-        .otherwise(ON_TIME)
-    )
-
-
-def measures():
-    status = F.col("ACCOUNT_STATUS")
-    overdue = F.count_if(status.isin(DELAYED, DEFAULTED))
-    columns = {
-        "NUM_MONTHS": F.count(MONTH),
-        "NUM_CLOSED_MONTHS": F.count_if(status == DEFAULTED),
-        "NUM_ACTIVE_MONTHS": F.count_if(status == ON_TIME),
-        "TOTAL_OVERDUE_MONTHS": overdue,
-        "OLDEST_RECORD": F.min(MONTH),
-        "MOST_RECENT_RECORD": F.max(MONTH),
-        "CREDIT_HISTORY_LENGTH": F.max(MONTH) - F.min(MONTH),
-        "RECENT_OVERDUE_MONTHS": overdue,
-        "MAX_OVERDUE_STATUS": worst_status(status),
-        "PERCENT_CLOSED": share(status == DEFAULTED),
-        "PERCENT_ACTIVE": share(status == ON_TIME),
-    }
-    return [column.alias(f"{PREFIX}_{name}") for name, column in columns.items()]
-
-
 MODES = {f"{PREFIX}_MOST_COMMON_STATUS": "ACCOUNT_STATUS"}
 
 
@@ -67,12 +67,11 @@ def record_keys(keys) -> list[str]:
 
 def features(df: DataFrame, keys=(RECORD,), closed_labels: bool = False) -> DataFrame:
     """Engineered columns per credit record."""
-    return grouped(df, list(keys), measures(), MODES, closed_labels=closed_labels)
+    return grouped(df, list(keys), MEASURES, MODES, closed_labels=closed_labels)
 
 
 def max_overdue_status(df: DataFrame, keys=(RECORD,)) -> DataFrame:
-    worst = worst_status(F.col("ACCOUNT_STATUS")).alias(f"{PREFIX}_MAX_OVERDUE_STATUS")
-    return grouped(df, list(keys), [worst])
+    return grouped(df, list(keys), {f"{PREFIX}_MAX_OVERDUE_STATUS": WORST})
 
 
 def per_record(df: DataFrame, keys=(RECORD,), closed_labels: bool = False) -> DataFrame:
@@ -81,7 +80,7 @@ def per_record(df: DataFrame, keys=(RECORD,), closed_labels: bool = False) -> Da
     return grouped(
         df,
         keys,
-        stats_of(df, keys, PREFIX) + measures(),
+        {**stats_of(df, keys, PREFIX), **MEASURES},
         {**modes_of(df, keys, PREFIX), **MODES},
         closed_labels=closed_labels,
     )
@@ -118,19 +117,19 @@ def per_customer(
 ) -> DataFrame:
     """min, max, mean and sum of every record-level number, mode of every label."""
     keys = list(keys)
-    measures_ = []
+    schema, measures = mapped.schema, {}
     for name in numeric_columns(mapped, exclude=(*IDENTIFIERS, *keys)):
-        whole = not is_fractional(mapped.schema[name].dataType)
-        measures_ += [
-            F.min(name).alias(f"{name}_min"),
-            F.max(name).alias(f"{name}_max"),
-            mean(name).alias(f"{name}_mean"),
-            (int_total(name) if whole else total(name)).alias(f"{name}_sum"),
-        ]
+        summed = total(name) if is_fractional(schema[name].dataType) else int_total(name)
+        measures |= {
+            f"{name}_min": f"min({name})",
+            f"{name}_max": f"max({name})",
+            f"{name}_mean": mean(name),
+            f"{name}_sum": summed,
+        }
     suffix = "<lambda>" if compat_names else "most_frequent"
     modes = {f"{n}_{suffix}": n for n in text_columns(mapped, exclude=(*IDENTIFIERS, *keys))}
     return grouped(
-        mapped, keys, measures_, modes, labels=RECORD_LABELS, closed_labels=closed_labels
+        mapped, keys, measures, modes, labels=RECORD_LABELS, closed_labels=closed_labels
     )
 
 

@@ -31,4 +31,4 @@ def categorical_modes(
 ) -> DataFrame:
     """Most frequent value of every text column per key, 'Unknown' if it has none."""
     keys = list(keys)
-    return grouped(df, keys, [], modes_of(df, keys, prefix), closed_labels=closed_labels)
+    return grouped(df, keys, {}, modes_of(df, keys, prefix), closed_labels=closed_labels)

@@ -10,11 +10,12 @@ from loanloom.functions.aggregates import (
     deviation,
     int_total,
     mean,
+    numeric_columns,
+    prefixed,
     ratio,
     safe_ratio,
     total,
 )
-from loanloom.functions.aggregates import numeric_columns
 from loanloom.operators.blocks.generic import IDENTIFIERS, stats_of
 from loanloom.operators.grouped import grouped
 from loanloom.schemas import CUSTOMER, LOAN
@@ -25,26 +26,10 @@ PAID_DAY, DUE_DAY = "DAYS_BEFORE_ACTUAL_PAYMENT", "DAYS_UNTIL_DUE"
 PAID, DUE = "ACTUAL_PAYMENT_AMOUNT", "SCHEDULED_PAYMENT_AMOUNT"
 
 
-def with_row_flags(df: DataFrame) -> DataFrame:
-    """Per payment: paid/due ratio, missed and late flags, days of delay."""
-    paid_ratio = ratio(F.col(PAID), F.col(DUE))
-    if isinstance(df.schema[PAID].dataType, T.DecimalType):
-        paid_ratio = paid_ratio.cast("decimal(18,8)")  # decimal in, decimal out
-    missed = F.coalesce((F.col(PAID) == 0).cast("bigint"), F.lit(0).cast("bigint"))
-    late = F.coalesce((F.col(PAID_DAY) > F.col(DUE_DAY)).cast("bigint"), F.lit(0).cast("bigint"))
-    return df.withColumns(
-        {
-            "PAYMENT_RATIO": paid_ratio,
-            "MISSED_PAYMENT": missed,
-            "LATE_PAYMENT": late,
-            "PAYMENT_DELAY": F.col(PAID_DAY) - F.col(DUE_DAY),
-        }
-    )
-
-
-def measures():
-    columns = {
-        "NUM_PAYMENTS": F.count(LOAN),
+MEASURES = prefixed(
+    PREFIX,
+    {
+        "NUM_PAYMENTS": f"count({LOAN})",
         "NUM_MISSED_PAYMENTS": int_total("MISSED_PAYMENT"),
         "MISSED_PAYMENT_RATIO": mean("MISSED_PAYMENT"),
         "MEAN_INSTALMENT_AMOUNT": mean(DUE),
@@ -54,19 +39,34 @@ def measures():
         "PAYMENT_COMPLIANCE_RATIO": safe_ratio(total(PAID), total(DUE)),
         "MEAN_DAYS_ENTRY_PAYMENT": mean(PAID_DAY),
         "STD_DAYS_ENTRY_PAYMENT": deviation(PAID_DAY),
-        "MIN_DAYS_ENTRY_PAYMENT": F.min(PAID_DAY),
-        "MAX_DAYS_ENTRY_PAYMENT": F.max(PAID_DAY),
+        "MIN_DAYS_ENTRY_PAYMENT": f"min({PAID_DAY})",
+        "MAX_DAYS_ENTRY_PAYMENT": f"max({PAID_DAY})",
         "MEAN_DAYS_INSTALMENT": mean(DUE_DAY),
-        "MIN_DAYS_INSTALMENT": F.min(DUE_DAY),
-        "MAX_DAYS_INSTALMENT": F.max(DUE_DAY),
-        "TIME_SINCE_LAST_PAYMENT": F.abs(F.max(PAID_DAY)),
-        "ABS_MEAN_PAYMENT_DELAY": F.abs(mean(PAID_DAY) - mean(DUE_DAY)),
+        "MIN_DAYS_INSTALMENT": f"min({DUE_DAY})",
+        "MAX_DAYS_INSTALMENT": f"max({DUE_DAY})",
+        "TIME_SINCE_LAST_PAYMENT": f"abs(max({PAID_DAY}))",
+        "ABS_MEAN_PAYMENT_DELAY": f"abs({mean(PAID_DAY)} - {mean(DUE_DAY)})",
         "MEAN_PAYMENT_DELAY": mean("PAYMENT_DELAY"),
         "STD_PAYMENT_DELAY": deviation("PAYMENT_DELAY"),
         "NUM_LATE_PAYMENTS": int_total("LATE_PAYMENT"),
         "LATE_PAYMENT_RATIO": mean("LATE_PAYMENT"),
-    }
-    return [column.alias(f"{PREFIX}_{name}") for name, column in columns.items()]
+    },
+)
+
+
+def with_row_flags(df: DataFrame) -> DataFrame:
+    """Per payment: paid/due ratio, missed and late flags, days of delay."""
+    paid_ratio = ratio(PAID, DUE)
+    if isinstance(df.schema[PAID].dataType, T.DecimalType):
+        paid_ratio = f"CAST({paid_ratio} AS DECIMAL(18,8))"  # decimal in, decimal out
+    return df.withColumns(
+        {
+            "PAYMENT_RATIO": F.expr(paid_ratio),
+            "MISSED_PAYMENT": F.expr(f"coalesce(CAST({PAID} = 0 AS BIGINT), 0L)"),
+            "LATE_PAYMENT": F.expr(f"coalesce(CAST({PAID_DAY} > {DUE_DAY} AS BIGINT), 0L)"),
+            "PAYMENT_DELAY": F.expr(f"{PAID_DAY} - {DUE_DAY}"),
+        }
+    )
 
 
 def fill_payment_ratios(df: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def features(df: DataFrame, keys=(CUSTOMER,), closed_labels: bool = False) -> Da
     """Engineered columns and the statistics of the four row flags."""
     keys, rows = list(keys), with_row_flags(df)
     flags = rows.select(*ROW_FLAGS)
-    return fill_payment_ratios(grouped(rows, keys, stats_of(flags, keys, PREFIX) + measures()))
+    return fill_payment_ratios(grouped(rows, keys, {**stats_of(flags, keys, PREFIX), **MEASURES}))
 
 
 def block(
@@ -87,7 +87,7 @@ def block(
 ) -> DataFrame:
     """``compat_names`` repeats the raw statistics under ``_x`` and ``_y`` names."""
     keys, rows = list(keys), with_row_flags(df)
-    out = fill_payment_ratios(grouped(rows, keys, stats_of(rows, keys, PREFIX) + measures()))
+    out = fill_payment_ratios(grouped(rows, keys, {**stats_of(rows, keys, PREFIX), **MEASURES}))
     if not compat_names:
         return out
     raw = {

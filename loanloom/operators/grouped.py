@@ -16,20 +16,23 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.functions.aggregates import measure, quoted
 from loanloom.schemas import LABELS, UNKNOWN
 
 _KNOWN = "__known_"
 _RARE = "__rare_"
 
 
-def _known_best(name: str, labels: list[str]) -> Column:
+def _known_best(name: str, labels: list[str]) -> str:
     """(-count, label) of the most frequent declared label, NULL if none occurs."""
-    empty = F.lit(None).cast("struct<n:bigint,label:string>")
-    candidates = [empty, empty]
+    candidates = ["CAST(NULL AS STRUCT<n: BIGINT, label: STRING>)"] * 2
     for label in sorted(labels):
-        n = F.count_if(F.col(name) == label)
-        candidates.append(F.when(n > 0, F.struct((-n).alias("n"), F.lit(label).alias("label"))))
-    return F.least(*candidates)
+        text = quoted(label)
+        n = f"count_if(`{name}` = {text})"
+        candidates.append(
+            f"CASE WHEN {n} > 0 THEN named_struct('n', -{n}, 'label', {text}) END"
+        )
+    return f"least({', '.join(candidates)})"
 
 
 def _is_rare(name: str, labels: list[str]) -> Column:
@@ -74,34 +77,34 @@ def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def grouped(
     df: DataFrame,
     keys: list[str],
-    measures: list[Column],
+    measures: dict[str, str],
     modes: dict[str, str] | None = None,
     labels: dict[str, list[str]] | None = None,
     closed_labels: bool = False,
 ) -> DataFrame:
-    """Aggregate ``df`` by ``keys``; ``modes`` maps result names to label columns.
+    """Aggregate ``df`` by ``keys``.
 
-    ``closed_labels=True`` promises that no value lies outside the declared
-    domains (checked at ingest, or true by construction) and drops the side path.
+    ``measures`` maps result names to SQL aggregates, ``modes`` maps result names
+    to label columns. ``closed_labels=True`` promises that no value lies outside
+    the declared domains (checked at ingest, or true by construction) and drops
+    the side path.
     """
     modes = modes or {}
     labels = LABELS if labels is None else labels
     names = list(dict.fromkeys(modes.values()))
     rows = with_keys(df, keys)
-    best = [_known_best(name, labels.get(name, [])).alias(_KNOWN + name) for name in names]
-    out = rows.groupBy(*keys).agg(*measures, *best)
+    best = {_KNOWN + name: _known_best(name, labels.get(name, [])) for name in names}
+    columns = [measure(sql, alias) for alias, sql in {**measures, **best}.items()]
+    out = rows.groupBy(*keys).agg(*columns)
     if not names:
         return out
 
-    plain = [c for c in out.columns if not c.startswith(_KNOWN)]
-    winner = {name: F.col(_KNOWN + name) for name in names}
+    known = {name: f"`{_KNOWN}{name}`" for name in names}
     if not closed_labels:
         out = out.join(rare_labels(rows, keys, names, labels), keys, "left")
-        winner = {name: F.least(winner[name], F.col(_RARE + name)) for name in names}
-    return out.select(
-        *plain,
-        *[
-            F.coalesce(winner[name].getField("label"), F.lit(UNKNOWN)).alias(alias)
-            for alias, name in modes.items()
-        ],
-    )
+        known = {name: f"least({sql}, `{_RARE}{name}`)" for name, sql in known.items()}
+    winners = [
+        measure(f"coalesce({known[name]}.label, {quoted(UNKNOWN)})", alias)
+        for alias, name in modes.items()
+    ]
+    return out.select(*keys, *[f"`{name}`" for name in measures], *winners)

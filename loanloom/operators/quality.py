@@ -74,7 +74,7 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
             stats += [
                 F.min(name).cast("double").alias(f"min_{i}"),
                 F.max(name).cast("double").alias(f"max_{i}"),
-                mean(name).alias(f"mean_{i}"),
+                F.expr(mean(f"`{name}`")).alias(f"mean_{i}"),
                 F.stddev_samp(F.col(name).cast("double")).alias(f"std_{i}"),
             ]
         entries = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.functions.aggregates import mean, ratio
+from loanloom.functions.aggregates import mean, measure
 from loanloom.operators.grouped import with_keys
 
 
@@ -32,12 +32,9 @@ def recent_means(
         .filter(F.col("__rank") <= depth)
     )
 
-    def recent_mean(column: str, n: int):
-        if n == depth:
-            return mean(column)
-        value = F.when(F.col("__rank") <= n, F.col(column))
-        return ratio(F.sum(value), F.count(value))
+    def recent_mean(column: str, n: int) -> str:
+        return mean(f"CASE WHEN __rank <= {n} THEN `{column}` END")
 
     return top.groupBy(*keys).agg(
-        *[recent_mean(column, n).alias(alias) for alias, (column, n) in measures.items()]
+        *[measure(recent_mean(column, n), alias) for alias, (column, n) in measures.items()]
     )
