@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.functions.aggregates import mean
+from loanloom.functions.aggregates import mean, measure, quoted
 from loanloom.operators.alignment import DTYPE_NAMES, category_domains
 from loanloom.schemas import CUSTOMER, RANGE_OVERRIDES, is_number
 
@@ -19,36 +19,26 @@ def quality_report(df: DataFrame, table: str) -> DataFrame:
 
     Hidden values are the texts '' and 'nan'; infinities are counted apart from NULLs.
     """
-    zero = F.lit(0).cast("bigint")
-    checks = [F.count(F.lit(1)).alias("__rows")]
+    checks, entries = {"__rows": "count(1)"}, []
     for i, f in enumerate(df.schema):
-        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
-        missing = c.isNull() | F.isnan(c) if kind in ("double", "float") else c.isNull()
-        checks.append(F.count_if(missing).alias(f"null_{i}"))
+        kind, x = f.dataType.typeName(), f"`{f.name}`"
+        floating = kind in ("double", "float")
+        present = f"nanvl({x}, NULL)" if floating else x
+        checks[f"set_{i}"] = f"count({present})"
+        hidden = infinite = "0L"
         if kind == "string":
-            checks.append(F.count_if(c.isin("", "nan")).alias(f"hidden_{i}"))
-        if kind in ("double", "float"):
-            infinite = F.abs(c) == F.lit(float("inf"))
-            checks.append(F.count_if(infinite).alias(f"inf_{i}"))
-    row = df.agg(*checks)
-
-    def count(name: str) -> Column:
-        return F.col(name) if name in row.columns else zero
-
-    return _tall(
-        row,
-        [
-            F.struct(
-                F.lit(table).alias("table"),
-                F.lit(name).alias("column"),
-                F.col("__rows").alias("n_rows"),
-                count(f"null_{i}").alias("n_null"),
-                count(f"hidden_{i}").alias("n_hidden"),
-                count(f"inf_{i}").alias("n_inf"),
-            )
-            for i, name in enumerate(df.columns)
-        ],
-    )
+            hidden = f"hidden_{i}"
+            checks[hidden] = f"count_if({x} IN ('', 'nan'))"
+        if floating:
+            infinite = f"inf_{i}"
+            checks[infinite] = f"count_if(abs({x}) = double('infinity'))"
+        entries.append(
+            f"named_struct('table', {quoted(table)}, 'column', {quoted(f.name)}, "
+            f"'n_rows', __rows, 'n_null', __rows - set_{i}, "
+            f"'n_hidden', {hidden}, 'n_inf', {infinite})"
+        )
+    row = df.agg(*[measure(sql, name) for name, sql in checks.items()])
+    return row.select(F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def block_coverage(stages: dict[str, DataFrame], key: str = CUSTOMER) -> DataFrame:

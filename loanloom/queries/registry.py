@@ -1,5 +1,5 @@
 """All named queries."""
 
-from loanloom.queries import features, requests, rules
+from loanloom.queries import features, models, requests, rules
 
-QUERIES = {**features.QUERIES, **rules.QUERIES, **requests.QUERIES}
+QUERIES = {**features.QUERIES, **rules.QUERIES, **requests.QUERIES, **models.QUERIES}
