@@ -82,7 +82,7 @@ def enforce_types(df: DataFrame, schema: FeatureSchema) -> DataFrame:
     for name, domain in lookups.items():
         known = df.sparkSession.createDataFrame([(d,) for d in domain], f"`{name}` string")
         known = known.withColumn("__known", F.lit(True))
-        out = out.join(known, name, "left").withColumn(name, F.when("__known", F.col(name)))
+        out = out.join(known, name, "left").withColumn(name, F.when(F.col("__known"), F.col(name)))
         out = out.drop("__known").select(*df.columns)
     return out
 

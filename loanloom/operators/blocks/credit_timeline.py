@@ -18,6 +18,7 @@ from loanloom.functions.aggregates import (
 from loanloom.operators.blocks.generic import IDENTIFIERS, modes_of, stats_of
 from loanloom.operators.grouped import grouped, with_keys
 from loanloom.operators.quantiles import describe
+from loanloom.operators.skew import HOT_ROWS, hot_keys, join_unique
 from loanloom.schemas import CUSTOMER, LABELS, RECORD, UNKNOWN, is_fractional
 
 PREFIX = "credit_timeline"
@@ -93,10 +94,16 @@ def record_customer_map(summary: DataFrame, keys=(CUSTOMER,)) -> DataFrame:
     return with_keys(summary.select(*names), names).distinct()
 
 
-def map_to_customers(records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,)) -> DataFrame:
+def map_to_customers(
+    records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Attach the customer to each record; records without one drop out, a record
-    of two customers counts for both."""
-    return records.join(mapping, record_keys(keys), "inner")
+    of two customers counts for both. A record shared by very many customers (a
+    placeholder id, say) is broadcast to them."""
+    on = record_keys(keys)
+    hot = (RECORD, hot_keys(mapping, RECORD, hot_rows)) if on == [RECORD] else None
+    joined = join_unique(mapping, [records], on, "inner", hot)
+    return joined.select(*records.columns, *[c for c in mapping.columns if c not in on])
 
 
 def unmapped_report(records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,)) -> DataFrame:

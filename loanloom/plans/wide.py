@@ -14,6 +14,7 @@ from loanloom.operators.blocks import (
     prior_loans,
 )
 from loanloom.operators.grouped import with_keys
+from loanloom.operators.skew import HOT_ROWS, hot_keys, join_unique
 from loanloom.schemas import CUSTOMER
 
 
@@ -53,17 +54,19 @@ def feature_blocks(
     return blocks
 
 
-def merge_blocks(profile: DataFrame, blocks: list[DataFrame], keys=(CUSTOMER,)) -> DataFrame:
+def merge_blocks(
+    profile: DataFrame, blocks: list[DataFrame], keys=(CUSTOMER,), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Left-join blocks onto the profile.
 
     Every block is already hash-partitioned on the keys by its own aggregate, so
     the joins add one exchange for the profile and none for the blocks. Profiles
-    without a key match nothing; they bypass the joins rather than meet in one task.
+    without a key match nothing; they bypass the joins rather than meet in one
+    task. A customer with very many profile rows gets its block rows broadcast.
     """
     keys = list(keys)
-    joined = with_keys(profile, keys)
-    for block in blocks:
-        joined = joined.join(block, keys, "left")
+    hot = (CUSTOMER, hot_keys(profile, CUSTOMER, hot_rows)) if keys == [CUSTOMER] else None
+    joined = join_unique(with_keys(profile, keys), blocks, keys, "left", hot)
     keyless = profile.filter(~_complete(keys))
     return joined.unionByName(keyless, allowMissingColumns=True)
 

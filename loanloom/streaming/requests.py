@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loanloom.plans.scoring import Scorer, payload_features, prediction_rows
 from loanloom.schemas import REQUEST
@@ -65,7 +64,4 @@ def read_predictions(spark: SparkSession, output: str) -> DataFrame:
 
 
 def read_rejects(spark: SparkSession, output: str) -> DataFrame:
-    schema = f"{REQUEST} string, reason string"
-    return spark.read.schema(schema).parquet(f"{output}/rejects").filter(
-        F.col(REQUEST).isNotNull()
-    )
+    return spark.read.parquet(f"{output}/rejects").drop("batch")
