@@ -25,3 +25,11 @@ def sf():
 def rows(df, *order):
     """Rows as tuples, ordered by the given columns."""
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
+
+
+@pytest.fixture(scope="module")
+def interpreted(spark):
+    """Skip whole-stage compilation, which takes longer than the tiny inputs do."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")

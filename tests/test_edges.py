@@ -29,6 +29,8 @@ from loanloom.operators.grouped import grouped
 from loanloom.operators.recent import recent_means
 from loanloom.schemas import LABELS, TABLE_COLUMNS, table_schema
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def frame(spark, table, records):
     """Rows of a raw table given as dicts; absent columns are NULL."""

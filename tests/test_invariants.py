@@ -16,6 +16,8 @@ from loanloom.plans.wide import merge_blocks, wide_features
 from loanloom.queries.common import as_double
 from loanloom.sources.adapters import lending_tables
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 @pytest.fixture(scope="module")
 def exact(spark, sf):

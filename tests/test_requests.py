@@ -17,6 +17,8 @@ from loanloom.sources.adapters import lending_tables
 from loanloom.sources.request_views import requests
 from loanloom.streaming import requests as streaming
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def profile(customer=7, **more):
     return {"CUSTOMER_ID": customer, "LOAN_AMOUNT": 1000.0, **more}
