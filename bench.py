@@ -41,7 +41,8 @@ def cases(spark, sf_dir):
         return risk.with_decision(risk.rule_score(profile))
 
     def request_features():
-        parsed = payload.stage(payload.parse(requests(spark, sf_dir)))
+        arriving = requests(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+        parsed = payload.stage(payload.parse(arriving))
         return payload_features(parsed, closed_labels=True)
 
     return {

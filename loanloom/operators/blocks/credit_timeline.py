@@ -94,15 +94,20 @@ def record_customer_map(summary: DataFrame, keys=(CUSTOMER,)) -> DataFrame:
     return with_keys(summary.select(*names), names).distinct()
 
 
+def shared_records(summary: DataFrame, keys=(CUSTOMER,), least: int = HOT_ROWS) -> list:
+    """Records that very many summary rows name, such as a placeholder id. Within a
+    request there are none."""
+    return hot_keys(summary, RECORD, least) if record_keys(keys) == [RECORD] else []
+
+
 def map_to_customers(
-    records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,), hot_rows: int = HOT_ROWS
+    records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,), shared: list | None = None
 ) -> DataFrame:
     """Attach the customer to each record; records without one drop out, a record
-    of two customers counts for both. A record shared by very many customers (a
-    placeholder id, say) is broadcast to them."""
+    of two customers counts for both. The rows of ``shared`` records are broadcast
+    to their customers instead of gathering those in one task."""
     on = record_keys(keys)
-    hot = (RECORD, hot_keys(mapping, RECORD, hot_rows)) if on == [RECORD] else None
-    joined = join_unique(mapping, [records], on, "inner", hot)
+    joined = join_unique(mapping, [records], on, "inner", (RECORD, shared or []))
     return joined.select(*records.columns, *[c for c in mapping.columns if c not in on])
 
 
@@ -149,5 +154,6 @@ def block(
 ) -> DataFrame:
     """History per customer: record level, mapping through the summary, customer level."""
     records = per_record(timeline, record_keys(keys), closed_labels)
-    mapped = map_to_customers(records, record_customer_map(summary, keys), keys)
+    mapping = record_customer_map(summary, keys)
+    mapped = map_to_customers(records, mapping, keys, shared_records(summary, keys))
     return per_customer(mapped, keys, closed_labels, compat_names)

@@ -151,9 +151,10 @@ def drop_all_null(spark, sf):
 
 def union_batches(spark, sf):
     profile = _profile(spark, sf)
-    even = profile.filter(F.col(CUSTOMER) % 2 == 0).select(CUSTOMER, risk.OCCUPATION)
-    odd = profile.filter(F.col(CUSTOMER) % 2 != 0).select(CUSTOMER, risk.EXTERNAL)
-    return alignment.union_batches([even, odd])
+    first = F.col("LOAN_CONTRACT_TYPE") == LABELS["LOAN_CONTRACT_TYPE"][0]
+    some = profile.filter(first).select(CUSTOMER, risk.OCCUPATION)
+    others = profile.filter(~first).select(CUSTOMER, risk.EXTERNAL)
+    return alignment.union_batches([some, others])
 
 
 CATEGORIES = ["OCCUPATION_TYPE", "LOAN_CONTRACT_TYPE", "HOUSING_TYPE"]

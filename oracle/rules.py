@@ -316,8 +316,8 @@ def oracle() -> dict[str, str]:
             f"SELECT CUSTOMER_ID, EXTERNAL_CREDIT_SCORE, OCCUPATION_TYPE FROM {P}"
         ),
         "union_batches": with_views(
-            "SELECT CUSTOMER_ID, CASE WHEN CUSTOMER_ID % 2 = 0 THEN OCCUPATION_TYPE END AS "
-            "OCCUPATION_TYPE, CASE WHEN CUSTOMER_ID % 2 <> 0 THEN EXTERNAL_CREDIT_SCORE END AS "
+            "SELECT CUSTOMER_ID, CASE WHEN LOAN_CONTRACT_TYPE = 'Loan Type A' THEN OCCUPATION_TYPE END AS "
+            "OCCUPATION_TYPE, CASE WHEN LOAN_CONTRACT_TYPE <> 'Loan Type A' THEN EXTERNAL_CREDIT_SCORE END AS "
             f"EXTERNAL_CREDIT_SCORE FROM {P}"
         ),
         "category_domains": with_views(DOMAINS),

@@ -139,7 +139,9 @@ def test_hot_profile_and_hot_record(exact):
     )
     mapping = credit_timeline.record_customer_map(shared)
     usual = credit_timeline.map_to_customers(records, mapping)
-    split = credit_timeline.map_to_customers(records, mapping, hot_rows=10)
+    hot = credit_timeline.shared_records(shared, least=10)
+    assert hot == [1]
+    split = credit_timeline.map_to_customers(records, mapping, shared=hot)
     assert differences(spark_table(split), spark_table(usual)) == []
     assert usual.filter("CREDIT_RECORD_ID = 1").count() > 10
 

@@ -103,7 +103,7 @@ def scorer(spark, sf):
 
 def test_stream_equals_batch(spark, sf, scorer, tmp_path):
     source = requests(spark, sf)
-    source.repartition(3).write.json(str(tmp_path / "in"))
+    source.repartition(2).write.json(str(tmp_path / "in"))
     stream = streaming.request_stream(spark, str(tmp_path / "in"), files_per_batch=1)
     query = streaming.start_scoring(
         stream, scorer, str(tmp_path / "out"), str(tmp_path / "checkpoint")
