@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanloom.llm import bpe
+from loanloom.llm import bpe, lines
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,8 +22,35 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN, spaced=True)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each document loses, and a digest of those that stay."""
+    return lines.line_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nr
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(
+                regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        frequent AS (
+            SELECT key, max(doc_id) AS stays FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        judged AS (
+            SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.stays AS gone
+            FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), ''))
+                AS kept_sha256
+        FROM judged GROUP BY doc_id""",
+}
