@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, lines, simhash
+from loanloom.llm import bpe, langid, lines, quality, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,15 +28,31 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN, spaced=True)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from three quarters of them."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    contents = langid.fit(docs.filter(~out))
+    found = langid.predict(docs.select("doc_id", out.alias("held_out"), "text"), contents)
+    return found.drop("text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines each document loses, and a digest of those that stay."""
     return lines.line_report(documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.judged(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op4_line_dedup": op4_line_dedup,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
