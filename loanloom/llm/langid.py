@@ -24,6 +24,7 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 3000
@@ -114,7 +115,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text",
             own = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(narrow, pa.bool_())]
             yield pa.record_batch([*batch.columns, *own], [*batch.schema.names, *names])
 
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in zip(names, ("string", "double", "boolean")):
         schema = schema.add(name, kind)
     return docs.mapInArrow(rows, schema)
