@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, langid, lines, quality, simhash
+from loanloom.llm import bpe, langid, lines, quality, radix, simhash, suffixtree
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words each document loses to repeats, and a digest of the others."""
+    return suffixtree.dedup_report(documents(spark, sf_dir))
+
+
+def op6_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bytes each document loses to repeats, and a digest of the others."""
+    return radix.dedup_report(documents(spark, sf_dir))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -50,6 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_tree": op5_suffix_tree,
+    "op6_radix": op6_radix,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
