@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, langid, lines, quality, radix, simhash, suffixtree
+from loanloom.llm import bpe, decontaminate, langid, lines, quality, radix, simhash, suffixtree
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -47,6 +47,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and where."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, sf_dir), items)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines each document loses, and a digest of those that stay."""
     return lines.line_report(documents(spark, sf_dir))
@@ -59,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_suffix_tree": op5_suffix_tree,
     "op6_radix": op6_radix,
