@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, decontaminate, langid, lines, quality, radix, simhash, suffixtree
+from loanloom.llm import (
+    bpe, decontaminate, langid, lines, lm, quality, radix, simhash, suffixtree,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +29,13 @@ def op6_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.dedup_report(documents(spark, sf_dir))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by unigram counts and by the trained model."""
+    held = langid.held_out(F.col("doc_id"), 7, 2)
+    scored = lm.scores(documents(spark, sf_dir), ~held)
+    return scored.withColumn("held_out", held)
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_suffix_tree": op5_suffix_tree,
     "op6_radix": op6_radix,
+    "op7_language_model": op7_language_model,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
