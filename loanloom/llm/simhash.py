@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanloom.llm.components import components
 from loanloom.llm.frames import fresh, written
@@ -135,21 +136,22 @@ def probe_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found), np.concatenate(own)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, print): the signed 64-bit fingerprint of every row; null and empty texts give 0."""
+def fingerprints(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """The kept columns and `print`, the signed 64-bit fingerprint of every row's text."""
+    mark = fresh(docs.select(*keep), "body")
+    source = docs.select(*keep, docs[text_col].alias(mark))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array(
-                [fingerprint((t.as_py() or "").encode("utf-8"), shingle_words) for t in batch.column(1)],
+                [fingerprint((t.as_py() or "").encode("utf-8")) for t in batch.column(len(keep))],
                 np.uint64,
             )
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["id", "print"])
+            own = [batch.column(i) for i in range(len(keep))]
+            yield pa.record_batch([*own, pa.array(prints.view(np.int64))], [*keep, "print"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(rows, f"id {kind}, print long")
+    schema = T.StructType([*source.drop(mark).schema.fields, T.StructField("print", T.LongType())])
+    return source.mapInArrow(rows, schema)
 
 
 def _close(nodes: DataFrame) -> DataFrame:
@@ -213,39 +215,49 @@ def link_classes(prints: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id), one row for each input row.
 
     component_id is the smallest id that links reach, the row's own included. Texts
     without a word have fingerprint zero and are linked like any other. Repeated rows
-    and ids fall into the same component; a null id is never a component's smallest
-    unless no other id is there. An empty table gives an empty result.
+    fall into the same component; component_id is null only where no row of the component has
+    an id. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    prints = written(fingerprints(own, "text", ["id"]), "fingerprints")
     classes = written(link_classes(prints), "link-classes")
     least = (
         prints.groupBy("print").agg(F.min("id").alias("id"))
         .join(classes, "print").groupBy("class").agg(F.min("id").alias("component_id"))
     )
     of = classes.join(least, "class").select("print", "component_id")
-    out = prints.join(of, "print").select(
+    return prints.join(of, "print").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         "component_id",
     )
-    return out
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their component.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns: that of the smallest id, null ids last.
 
-    Rows without an id can't be told apart; they stay only if no id is in their component,
-    and then one for each distinct fingerprint class stays.
+    Rows that repeat an id and a text are one; rows that share only the id are told apart by
+    hashes of both.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle_words)
-    first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first"))
-    mark = fresh(docs, "first")
-    kept = docs.join(first.distinct().withColumnRenamed("first", mark), docs[id_col] == F.col(mark), "left_semi")
-    return kept.dropDuplicates([id_col])
+    first, second = fresh(docs, "identity"), fresh(docs, "version")
+    body = F.coalesce(docs[text_col], F.lit(""))
+    marked = docs.withColumns({first: F.xxhash64(docs[id_col], body), second: F.hash(body)})
+    own = marked.select(
+        F.col(id_col).alias("id"), F.col(first).alias("first"), F.col(second).alias("second"),
+        F.col(text_col).alias("text"),
+    )
+    prints = written(fingerprints(own, "text", ["id", "first", "second"]), "fingerprints")
+    classes = written(link_classes(prints), "link-classes")
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "first", "second")).alias("one")
+    chosen = (
+        prints.groupBy("print").agg(order).join(classes, "print")
+        .groupBy("class").agg(F.min("one").alias("one"))
+        .select(F.col("one.first").alias(first), F.col("one.second").alias(second))
+    )
+    kept = marked.join(chosen.distinct(), [first, second], "left_semi")
+    return kept.dropDuplicates([first, second]).select(*docs.columns)
