@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom.llm import (
-    bpe, decontaminate, langid, lines, lm, quality, radix, simhash, suffixtree,
+    bpe, decontaminate, langid, lines, lm, quality, radix, secrets, simhash, suffixtree,
 )
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN, spaced=True)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in all documents, and which of them are real."""
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from three quarters of them."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -73,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_language": op2_language,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
