@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from loanloom.functions.cleaning import number, to_bigint
 from loanloom.schemas import MISSING, is_number
 
-INLINE_DOMAIN = 200  # larger label domains are joined instead of listed in the plan
-
 
 @dataclass
 class FeatureSchema:
@@ -63,7 +61,7 @@ def _in_domain(df: DataFrame, name: str, domain: list[str]) -> Column:
 
 def enforce_types(df: DataFrame, schema: FeatureSchema) -> DataFrame:
     """Cast every feature to its training type; labels outside the domain become NULL."""
-    columns, lookups = {}, {}
+    columns = {}
     for name in [n for n in schema.features if n in df.columns]:
         kind = schema.dtypes[name]
         domain = schema.categories.get(name)
@@ -73,18 +71,9 @@ def enforce_types(df: DataFrame, schema: FeatureSchema) -> DataFrame:
             columns[name] = number(df, name)
         elif domain is None:
             columns[name] = F.col(name).cast("string")
-        elif len(domain) <= INLINE_DOMAIN:
-            columns[name] = _in_domain(df, name, domain)
         else:
-            columns[name] = F.col(name).cast("string")
-            lookups[name] = domain
-    out = df.withColumns(columns)
-    for name, domain in lookups.items():
-        known = df.sparkSession.createDataFrame([(d,) for d in domain], f"`{name}` string")
-        known = known.withColumn("__known", F.lit(True))
-        out = out.join(known, name, "left").withColumn(name, F.when(F.col("__known"), F.col(name)))
-        out = out.drop("__known").select(*df.columns)
-    return out
+            columns[name] = _in_domain(df, name, domain)
+    return df.withColumns(columns)
 
 
 def fill_scoring(df: DataFrame, fill: str = "null") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loanloom.functions.aggregates import any_flag, int_total, mean, prefixed, quoted, share
 from loanloom.functions.binning import loan_age_group
 from loanloom.operators.blocks.generic import modes_of, stats_of
-from loanloom.operators.grouped import grouped
+from loanloom.operators.grouped import grouped, with_keys
 from loanloom.schemas import CUSTOMER, LABELS, LOAN
 
 PREFIX = "cash_pos"
@@ -19,7 +19,6 @@ IS_ACTIVE, IS_COMPLETED, IS_RETURNED = (
 MEASURES = prefixed(
     PREFIX,
     {
-        "NUM_POS_LOANS": f"count(DISTINCT {LOAN})",
         "NUM_ACTIVE_POS_LOANS": f"count_if({IS_ACTIVE})",
         "NUM_COMPLETED_POS_LOANS": f"count_if({IS_COMPLETED})",
         "AVG_POS_CREDIT_DURATION": f"abs({mean('TIME_SINCE_ENTRY')}) / 12D",
@@ -43,16 +42,30 @@ def with_age_group(df: DataFrame) -> DataFrame:
     return df.withColumn("LOAN_AGE_GROUP", loan_age_group(F.col("TIME_SINCE_ENTRY")))
 
 
+def with_loans(out: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the number of distinct loans.
+
+    Only (key, loan) pairs are made distinct; beside the other aggregates the distinct
+    count would carry all their buffers through a second shuffle.
+    """
+    pairs = with_keys(df.select(*keys, LOAN), keys).distinct()
+    loans = pairs.groupBy(*keys).agg(F.count(LOAN).alias(f"{PREFIX}_NUM_POS_LOANS"))
+    return out.join(loans, keys, "left")
+
+
 def features(df: DataFrame, keys=(CUSTOMER,), closed_labels: bool = False) -> DataFrame:
-    return grouped(with_age_group(df), list(keys), MEASURES, MODES, closed_labels=closed_labels)
+    keys = list(keys)
+    out = grouped(with_age_group(df), keys, MEASURES, MODES, closed_labels=closed_labels)
+    return with_loans(out, df, keys)
 
 
 def block(df: DataFrame, keys=(CUSTOMER,), closed_labels: bool = False) -> DataFrame:
     keys = list(keys)
-    return grouped(
+    out = grouped(
         with_age_group(df),
         keys,
         {**stats_of(df, keys, PREFIX), **MEASURES},
         {**modes_of(df, keys, PREFIX), **MODES},
         closed_labels=closed_labels,
     )
+    return with_loans(out, df, keys)

@@ -18,7 +18,7 @@ from loanloom.functions.aggregates import (
 from loanloom.operators.blocks.generic import IDENTIFIERS, modes_of, stats_of
 from loanloom.operators.grouped import grouped, with_keys
 from loanloom.operators.quantiles import describe
-from loanloom.operators.skew import HOT_ROWS, hot_keys, join_unique
+from loanloom.operators.skew import join_unique
 from loanloom.schemas import CUSTOMER, LABELS, RECORD, UNKNOWN, is_fractional
 
 PREFIX = "credit_timeline"
@@ -94,29 +94,28 @@ def record_customer_map(summary: DataFrame, keys=(CUSTOMER,)) -> DataFrame:
     return with_keys(summary.select(*names), names).distinct()
 
 
-def shared_records(summary: DataFrame, keys=(CUSTOMER,), least: int = HOT_ROWS) -> list:
-    """Records that very many summary rows name, such as a placeholder id. Within a
-    request there are none."""
-    return hot_keys(summary, RECORD, least) if record_keys(keys) == [RECORD] else []
-
-
-def map_to_customers(
-    records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,), shared: list | None = None
-) -> DataFrame:
+def map_to_customers(records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,)) -> DataFrame:
     """Attach the customer to each record; records without one drop out, a record
-    of two customers counts for both. The rows of ``shared`` records are broadcast
-    to their customers instead of gathering those in one task."""
+    of two customers counts for both. Very many customers may share a record, such as
+    a placeholder id; within a request they do not."""
     on = record_keys(keys)
-    joined = join_unique(mapping, [records], on, "inner", (RECORD, shared or []))
+    if on == [RECORD]:
+        joined = join_unique(mapping, records, on, "inner")
+    else:
+        joined = mapping.join(records, on)
     return joined.select(*records.columns, *[c for c in mapping.columns if c not in on])
 
 
 def unmapped_report(records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,)) -> DataFrame:
     """Describe the mean record age of mapped and of unmapped records."""
     on = record_keys(keys)
-    flagged = records.join(mapping, on, "left").select(
-        F.when(F.col(CUSTOMER).isNull(), "unmapped").otherwise("mapped").alias("records"),
-        F.col(f"{PREFIX}_agg_{MONTH}_mean").alias("value"),
+    age = F.col(f"{PREFIX}_agg_{MONTH}_mean").alias("value")
+    # How often a record is mapped is all that counts, so its customers never meet it.
+    times = mapping.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    found = records.join(times, on, "left").select("n", age)
+    flagged = found.select(
+        F.when(F.col("n").isNull(), "unmapped").otherwise("mapped").alias("records"),
+        F.explode(F.array_repeat("value", F.coalesce("n", F.lit(1)).cast("int"))).alias("value"),
     )
     return describe(flagged, "records", "value")
 
@@ -155,5 +154,5 @@ def block(
     """History per customer: record level, mapping through the summary, customer level."""
     records = per_record(timeline, record_keys(keys), closed_labels)
     mapping = record_customer_map(summary, keys)
-    mapped = map_to_customers(records, mapping, keys, shared_records(summary, keys))
+    mapped = map_to_customers(records, mapping, keys)
     return per_customer(mapped, keys, closed_labels, compat_names)

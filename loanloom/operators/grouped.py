@@ -21,6 +21,7 @@ from loanloom.schemas import LABELS, UNKNOWN
 
 _KNOWN = "__known_"
 _RARE = "__rare_"
+_STRAY = "__stray_"
 
 
 def _known_best(name: str, labels: list[str]) -> str:
@@ -35,6 +36,13 @@ def _known_best(name: str, labels: list[str]) -> str:
     return f"least({', '.join(candidates)})"
 
 
+def _strays(name: str, labels: list[str]) -> str:
+    """How many values lie outside the declared labels."""
+    listed = ", ".join(quoted(label) for label in labels)
+    outside = f"AND `{name}` NOT IN ({listed})" if listed else ""
+    return f"count_if(`{name}` IS NOT NULL {outside})"
+
+
 def _is_rare(name: str, labels: list[str]) -> Column:
     known = F.col(name).isin(labels) if labels else F.lit(False)
     return F.col(name).isNotNull() & ~known
@@ -85,15 +93,17 @@ def grouped(
     """Aggregate ``df`` by ``keys``.
 
     ``measures`` maps result names to SQL aggregates, ``modes`` maps result names
-    to label columns. ``closed_labels=True`` promises that no value lies outside
-    the declared domains (checked at ingest, or true by construction) and drops
-    the side path.
+    to label columns. ``closed_labels=True`` drops the side path for labels outside
+    the declared domains; the same aggregate counts them, and the query fails if there
+    is one.
     """
     modes = modes or {}
     labels = LABELS if labels is None else labels
     names = list(dict.fromkeys(modes.values()))
     rows = with_keys(df, keys)
     best = {_KNOWN + name: _known_best(name, labels.get(name, [])) for name in names}
+    if closed_labels:
+        best |= {_STRAY + name: _strays(name, labels.get(name, [])) for name in names}
     columns = [measure(sql, alias) for alias, sql in {**measures, **best}.items()]
     out = rows.groupBy(*keys).agg(*columns)
     if not names:
@@ -103,8 +113,12 @@ def grouped(
     if not closed_labels:
         out = out.join(rare_labels(rows, keys, names, labels), keys, "left")
         known = {name: f"least({sql}, `{_RARE}{name}`)" for name, sql in known.items()}
-    winners = [
-        measure(f"coalesce({known[name]}.label, {quoted(UNKNOWN)})", alias)
-        for alias, name in modes.items()
-    ]
+    labelled = {n: f"coalesce({sql}.label, {quoted(UNKNOWN)})" for n, sql in known.items()}
+    if closed_labels:
+        labelled = {
+            n: f"CASE WHEN `{_STRAY}{n}` = 0 THEN {sql} ELSE "
+            f"raise_error({quoted(f'{n} has a label outside its domain')}) END"
+            for n, sql in labelled.items()
+        }
+    winners = [measure(labelled[name], alias) for alias, name in modes.items()]
     return out.select(*keys, *[f"`{name}`" for name in measures], *winners)

@@ -61,7 +61,7 @@ def exact_quantiles(
     for p in probabilities:
         position = (F.col("n") - 1) * F.lit(float(p))
         low, high = F.floor(position), F.ceil(position)
-        v_low, v_high = _value_at(low), _value_at(high)
+        v_low, v_high = _found(_value_at(low)), _found(_value_at(high))
         step = F.max(position - low)
         picks.append((v_low + (v_high - v_low) * step).alias(str(p)))
     wide = ranked.groupBy(series).agg(*picks)
@@ -91,6 +91,11 @@ def _value_at(rank: Column) -> Column:
     return F.max(F.when(covers, F.col("v")))
 
 
+def _found(value: Column) -> Column:
+    missed = F.raise_error(F.lit("a quantile's rank lies outside its bracket"))
+    return F.coalesce(value, missed.cast("double"))
+
+
 def describe(df: DataFrame, series: str, value: str) -> DataFrame:
     """count, mean, std, min, quartiles and max of ``value`` per series."""
     basics = df.groupBy(series).agg(

@@ -1,44 +1,39 @@
 """Joins that survive a key holding a large part of all rows.
 
 One side has at most one row per key (it comes from an aggregate); the other may
-repeat a key any number of times. Keys repeated very often are found first by a
-narrow count. Their few unique rows are broadcast, so their many partners stay
-where they are; all other rows take the ordinary shuffled join.
+repeat a key any number of times. Spark's adaptive execution splits an oversized
+partition of such a join if both sides were shuffled for that very join. A side
+that an aggregate left partitioned by the key would be joined in place instead, so
+the join also compares a hash of the key, which no aggregate is partitioned by.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # a key below this is no burden for one task
-MOST_HOT_KEYS = 1_000  # bounds the broadcast; further keys are joined as usual
+_SPREAD = "__spread"
 
 
-def hot_keys(df: DataFrame, key: str, least: int = HOT_ROWS) -> list:
-    """The keys with at least ``least`` rows, the most frequent ones first."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") >= least).orderBy(F.desc("n")).limit(MOST_HOT_KEYS)
-    return [row[0] for row in hot.collect()]
+def join_unique(many: DataFrame, unique: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join a table with unique keys to ``many``; any key may be frequent in ``many``."""
+    spread = F.xxhash64(*keys)
+    right = unique.withColumns({_SPREAD: spread})
+    return many.withColumns({_SPREAD: spread}).join(right, [_SPREAD, *keys], how).drop(_SPREAD)
 
 
-def join_unique(
-    many: DataFrame,
-    uniques: list[DataFrame],
-    keys: list[str],
-    how: str,
-    hot: tuple[str, list] | None = None,
-) -> DataFrame:
-    """Join tables with unique keys to ``many``, one after another.
+def joined_blocks(many: DataFrame, blocks: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All blocks side by side, one row for each complete key of ``many``.
 
-    ``hot`` names a key column and its frequent values (see ``hot_keys``).
+    The keys are made distinct map-side first. Blocks come partitioned by the keys,
+    so these joins move nothing but the keys.
     """
-    column, values = hot or ("", [])
-    if not values:
-        return reduce(lambda left, right: left.join(right, keys, how), uniques, many)
-    is_hot = F.coalesce(F.col(column).isin(values), F.lit(False))
-    usual = join_unique(many.filter(~is_hot), uniques, keys, how)
-    few = [F.broadcast(u.filter(is_hot)) for u in uniques]
-    return usual.unionByName(join_unique(many.filter(is_hot), few, keys, how))
+    base = many.select(*keys).distinct()
+    return reduce(lambda left, right: left.join(right, keys, "left"), blocks, base)
+
+
+def complete(keys: list[str]):
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])

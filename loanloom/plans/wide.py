@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loanloom.operators.blocks import (
     card_activity,
@@ -13,8 +14,7 @@ from loanloom.operators.blocks import (
     installments,
     prior_loans,
 )
-from loanloom.operators.grouped import with_keys
-from loanloom.operators.skew import HOT_ROWS, hot_keys, join_unique
+from loanloom.operators.skew import complete, join_unique, joined_blocks
 from loanloom.schemas import CUSTOMER
 
 
@@ -54,41 +54,43 @@ def feature_blocks(
     return blocks
 
 
-def merge_blocks(
-    profile: DataFrame, blocks: list[DataFrame], keys=(CUSTOMER,), hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def merge_blocks(profile: DataFrame, blocks: list[DataFrame], keys=(CUSTOMER,)) -> DataFrame:
     """Left-join blocks onto the profile.
 
-    Every block is already hash-partitioned on the keys by its own aggregate, so
-    the joins add one exchange for the profile and none for the blocks. Profiles
-    without a key match nothing; they bypass the joins rather than meet in one
-    task. A customer with very many profile rows gets its block rows broadcast.
+    Every block is already hash-partitioned on the keys by its own aggregate. Requests
+    are unique, so there the joins add one exchange for the profile and none for the
+    blocks. A customer may have any number of profile rows: the blocks meet on the
+    distinct customers, and the last join can be split where one customer is frequent.
+    Profiles without a key match nothing; they bypass the joins rather than meet in one
+    task.
     """
     keys = list(keys)
-    hot = (CUSTOMER, hot_keys(profile, CUSTOMER, hot_rows)) if keys == [CUSTOMER] else None
-    joined = join_unique(with_keys(profile, keys), blocks, keys, "left", hot)
-    keyless = profile.filter(~_complete(keys))
+    rows, keyless = profile.filter(complete(keys)), profile.filter(~complete(keys))
+    if not blocks:
+        joined = rows
+    elif keys == [CUSTOMER]:
+        joined = join_unique(rows, joined_blocks(rows, blocks, keys), keys, "left")
+    else:
+        joined = reduce(lambda left, right: left.join(right, keys, "left"), blocks, rows)
     return joined.unionByName(keyless, allowMissingColumns=True)
 
 
-def _complete(keys: list[str]):
-    condition = F.col(keys[0]).isNotNull()
-    for key in keys[1:]:
-        condition = condition & F.col(key).isNotNull()
-    return condition
-
-
 def wide_features(
     tables: dict[str, DataFrame],
     keys=(CUSTOMER,),
     closed_labels: bool = False,
     compat_names: bool = False,
+    keep_target: bool = False,
 ) -> DataFrame:
-    """Profile columns (without TARGET) and all features, one row per profile row."""
+    """Profile columns and all features, one row per profile row.
+
+    TARGET stays only with ``keep_target``, for training.
+    """
     if "customer_profile" not in tables:
         raise ValueError("a customer_profile table is required")
     profile = tables["customer_profile"]
     if CUSTOMER not in profile.columns:
         raise ValueError(f"customer_profile has no {CUSTOMER} column")
     blocks = feature_blocks(tables, keys, closed_labels, compat_names)
-    return merge_blocks(profile.drop("TARGET"), list(blocks.values()), keys)
+    rows = profile if keep_target else profile.drop("TARGET")
+    return merge_blocks(rows, list(blocks.values()), keys)

@@ -11,7 +11,8 @@ from loanloom.operators.blocks import (
     credit_timeline,
     prior_loans,
 )
-from loanloom.operators.skew import hot_keys
+from loanloom.operators.skew import join_unique
+from loanloom.plans import training
 from loanloom.plans.wide import merge_blocks, wide_features
 from loanloom.queries.common import as_double
 from loanloom.sources.adapters import lending_tables
@@ -122,15 +123,22 @@ def test_hot_label_outside_the_domain(spark, exact):
     assert modes == best
 
 
-def test_hot_profile_and_hot_record(exact):
-    """Broadcasting the partners of frequent keys gives the same rows."""
+def test_many_hot_profiles_and_records(spark, exact):
+    """Thousands of frequent keys: every row comes out once, with its own partner."""
+    many = spark.range(40_000).select(
+        F.pmod("id", F.lit(2_000)).alias("CUSTOMER_ID"), F.col("id").alias("n")
+    ).unionByName(spark.range(20_000).select(F.lit(1).cast("bigint").alias("CUSTOMER_ID"), F.col("id").alias("n")))
+    unique = spark.range(3_000).select(F.col("id").alias("CUSTOMER_ID"), (F.col("id") * 2).alias("v"))
+    out = join_unique(many, unique, ["CUSTOMER_ID"], "left")
+    assert out.columns == ["CUSTOMER_ID", "n", "v"]
+    assert out.count() == 60_000 and out.filter("v <> CUSTOMER_ID * 2 OR v IS NULL").count() == 0
+
     profile = exact["customer_profile"].drop("TARGET")
     block = credit_summary.block(exact["credit_summary"], closed_labels=True)
     repeated = profile.unionByName(profile.filter("CUSTOMER_ID % 7 = 0"))
-    usual = merge_blocks(repeated, [block])
-    split = merge_blocks(repeated, [block], hot_rows=2)
-    assert differences(spark_table(split), spark_table(usual)) == []
-    assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
+    plain = repeated.join(block, "CUSTOMER_ID", "left")
+    merged = merge_blocks(repeated, [block])
+    assert differences(spark_table(merged), spark_table(plain)) == []
 
     records = credit_timeline.per_record(exact["credit_timeline"])
     shared = exact["credit_summary"].withColumn(
@@ -138,14 +146,38 @@ def test_hot_profile_and_hot_record(exact):
         F.when(F.col("CREDIT_RECORD_ID") % 3 == 0, F.lit(1)).otherwise(F.col("CREDIT_RECORD_ID")),
     )
     mapping = credit_timeline.record_customer_map(shared)
-    usual = credit_timeline.map_to_customers(records, mapping)
-    hot = credit_timeline.shared_records(shared, least=10)
-    assert hot == [1]
-    split = credit_timeline.map_to_customers(records, mapping, shared=hot)
-    assert differences(spark_table(split), spark_table(usual)) == []
-    assert usual.filter("CREDIT_RECORD_ID = 1").count() > 10
+    mapped = credit_timeline.map_to_customers(records, mapping)
+    plain = records.join(mapping, "CREDIT_RECORD_ID").select(*mapped.columns)
+    assert differences(spark_table(mapped), spark_table(plain)) == []
+    assert mapped.filter("CREDIT_RECORD_ID = 1").count() > 10
+
+
+def test_frequent_keys_are_split(spark):
+    """Both sides are shuffled for the join itself, which adaptive execution can split."""
+    many = spark.range(100).select((F.col("id") % 3).alias("k"))
+    unique = spark.range(5).groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = join_unique(many, unique, ["k"], "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("hashpartitioning(__spread") == 2
+
+
+def test_stray_label_fails_a_closed_query(exact):
+    table = exact["credit_summary"].withColumn("CREDIT_STATUS", F.lit("Frozen"))
+    block = credit_summary.block(table, closed_labels=True)
+    with pytest.raises(Exception, match="CREDIT_STATUS has a label outside its domain"):
+        block.collect()
+    name = "credit_summary_agg_CREDIT_STATUS_most_frequent"
+    assert {r[0] for r in credit_summary.block(table).select(name).collect()} == {"Frozen"}
 
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "k long")
-    assert hot_keys(df, "k", 2) == [1] and hot_keys(df, "k") == []
+def test_training_rows_are_profile_rows(exact):
+    """Customers with several profile rows train once for each, not once for each pair."""
+    profile = exact["customer_profile"]
+    repeated = profile.unionByName(profile.filter("CUSTOMER_ID % 5 = 0"))
+    few = {"customer_profile": repeated, "credit_summary": exact["credit_summary"]}
+    data = training.training_set(wide_features(few, keep_target=True))
+    assert data.rows.count() == repeated.count()

@@ -160,7 +160,7 @@ def test_declared_schema_on_read(spark, sf, tmp_path):
 
 def test_model_round_trip(spark, sf, tmp_path):
     t = lending_tables(spark, sf, names=["customer_profile", "credit_summary"])
-    data = training.training_set(wide_features(t), t["customer_profile"])
+    data = training.training_set(wide_features(t, keep_target=True))
     model = training.train_boosted(data, trees=2, depth=2)
     tables.write_model(model, str(tmp_path / "model"))
     again = tables.read_model(str(tmp_path / "model"))
