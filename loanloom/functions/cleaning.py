@@ -23,6 +23,21 @@ def text_number(text: Column) -> Column:
     return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
 
 
+def text_bigint(text: Column) -> Column:
+    """Nearest whole number of a text, halves to even; NULL if it is no number."""
+    trimmed = F.trim(text)
+    exact = F.when(trimmed.rlike(_INTEGER), trimmed.try_cast("bigint"))
+    return F.coalesce(exact, _whole(F.bround(text_number(text), 0)))
+
+
+def text_id(text: Column) -> Column:
+    """BIGINT of a text that is a whole number; NULL for anything else, 1.5 included."""
+    trimmed = F.trim(text)
+    exact = F.when(trimmed.rlike(_INTEGER), trimmed.try_cast("bigint"))
+    value = text_number(text)
+    return F.coalesce(exact, F.when(value == F.floor(value), _whole(value)))
+
+
 def number(df: DataFrame, name: str) -> Column:
     """Any column as DOUBLE; bad text and NaN become NULL."""
     value = text_number(F.col(name)) if _is_text(df, name) else F.col(name).cast("double")
@@ -36,8 +51,7 @@ def _whole(value: Column) -> Column:
 def to_bigint(df: DataFrame, name: str) -> Column:
     """Nearest whole number, halves to even; NULL if not a number."""
     if _is_text(df, name):
-        exact = F.when(F.trim(name).rlike(_INTEGER), F.trim(name).try_cast("bigint"))
-        return F.coalesce(exact, _whole(F.bround(number(df, name), 0)))
+        return text_bigint(F.col(name))
     if is_fractional(df.schema[name].dataType):
         return _whole(F.bround(number(df, name), 0))
     return F.col(name).cast("bigint")
@@ -46,9 +60,7 @@ def to_bigint(df: DataFrame, name: str) -> Column:
 def integer_id(df: DataFrame, name: str = CUSTOMER) -> Column:
     """BIGINT of a whole number; NULL for anything else, 1.5 included."""
     if _is_text(df, name):
-        exact = F.when(F.trim(name).rlike(_INTEGER), F.trim(name).try_cast("bigint"))
-        value = number(df, name)
-        return F.coalesce(exact, F.when(value == F.floor(value), _whole(value)))
+        return text_id(F.col(name))
     if is_fractional(df.schema[name].dataType):
         value = number(df, name)
         return F.when(value == F.floor(value), _whole(value))
@@ -70,12 +82,6 @@ def with_clean_id(df: DataFrame, name: str = CUSTOMER) -> DataFrame:
     return df.withColumn("id_state", state).withColumn(name, clean)
 
 
-def numeric_columns_of(df: DataFrame, names: list[str]) -> DataFrame:
-    """Coerce the named columns to DOUBLE where present."""
-    present = [n for n in names if n in df.columns]
-    return df.withColumns({n: number(df, n) for n in present}) if present else df
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN marks a missing number in files; Spark aggregates need NULL instead."""
     floats = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]

@@ -173,17 +173,6 @@ def table_schema(table: str, drop: tuple[str, ...] = ()) -> T.StructType:
     )
 
 
-def payload_schema() -> T.StructType:
-    """One scoring request: a profile object and six arrays of child rows."""
-    fields = [
-        T.StructField(REQUEST, T.StringType()),
-        T.StructField(CUSTOMER, T.LongType()),
-        T.StructField("customer_profile", table_schema("customer_profile", drop=("TARGET",))),
-    ]
-    fields += [T.StructField(t, T.ArrayType(table_schema(t))) for t in CHILD_TABLES]
-    return T.StructType(fields)
-
-
 def is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 

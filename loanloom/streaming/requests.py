@@ -24,11 +24,6 @@ def request_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
     )
 
 
-def without_repeats(requests: DataFrame, arrived: str, delay: str) -> DataFrame:
-    """Drop requests sent again within the delay; needs an arrival timestamp column."""
-    return requests.withWatermark(arrived, delay).dropDuplicatesWithinWatermark([REQUEST])
-
-
 def score_batch(parsed: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
     """(predictions, rejects) of a set of parsed requests."""
     return prediction_rows(scorer(payload_features(parsed))), rejects(parsed)

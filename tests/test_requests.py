@@ -45,6 +45,48 @@ def test_rejects(spark):
     assert got["no id"] == "no CUSTOMER_ID"
 
 
+def test_dirty_values_are_coerced(spark):
+    """Numbers as text, whole numbers with a fraction point, junk and quoted ids all score."""
+    installment = {"PRIOR_LOAN_ID": "3", "DAYS_UNTIL_DUE": -3.0, "SCHEDULED_PAYMENT_AMOUNT": "12x",
+                   "ACTUAL_PAYMENT_AMOUNT": "4.5"}
+    bodies = {
+        "int": {"customer_profile": profile(7, NUM_CHILDREN=2.0, MONTHLY_INCOME="4000")},
+        "float": {"customer_profile": profile(7.0), "installment_records": [{"CUSTOMER_ID": 7.0, **installment}]},
+        "text": {"customer_profile": profile("7"), "installment_records": [{"CUSTOMER_ID": "7", **installment}]},
+        "half": {"customer_profile": profile(1.5)},
+        "word": {"customer_profile": profile("abc")},
+        "rounded": {"customer_profile": profile(8, NUM_CHILDREN="2.5", LOAN_ANNUITY="junk", GENDER_CODE=1)},
+    }
+    parsed = parse(spark, bodies)
+    reasons = {r[0]: r[1] for r in payload.rejects(parsed).collect()}
+    assert reasons == {"half": "CUSTOMER_ID is no whole number", "word": "CUSTOMER_ID is no number"}
+    rows = {r["REQUEST_ID"]: r for r in payload.profile_rows(payload.accepted(parsed)).collect()}
+    assert rows["int"]["NUM_CHILDREN"] == 2 and rows["int"]["MONTHLY_INCOME"] == 4000.0
+    assert rows["rounded"]["NUM_CHILDREN"] == 2 and rows["rounded"]["LOAN_ANNUITY"] is None
+    assert rows["rounded"]["GENDER_CODE"] == "1"
+    wide = {r["REQUEST_ID"]: r for r in scoring.payload_features(parsed).collect()}
+    assert set(wide) == {"int", "float", "text", "rounded"}
+    for name in ("float", "text"):
+        assert wide[name]["CUSTOMER_ID"] == 7
+        assert wide[name]["installments_NUM_PAYMENTS"] == 1
+    assert wide["int"]["installments_NUM_PAYMENTS"] is None
+
+
+def test_equal_request_ids_stay_apart(spark):
+    """Requests that share an id, even a whole body, are scored one by one; no id is refused."""
+    def body(customer):
+        row = {"CUSTOMER_ID": customer, "PRIOR_LOAN_ID": 1, "SCHEDULED_PAYMENT_AMOUNT": 2.0,
+               "ACTUAL_PAYMENT_AMOUNT": 2.0}
+        return json.dumps({"customer_profile": profile(customer), "installment_records": [row]})
+
+    rows = [("same", body(7)), ("same", body(7)), ("same", body(8)), (None, body(7))]
+    parsed = payload.parse(spark.createDataFrame(rows, "REQUEST_ID string, body string"))
+    wide = scoring.payload_features(parsed).collect()
+    assert sorted((r["REQUEST_ID"], r["CUSTOMER_ID"]) for r in wide) == [("same", 7), ("same", 7), ("same", 8)]
+    assert {r["installments_NUM_PAYMENTS"] for r in wide} == {1}
+    assert [tuple(r) for r in payload.rejects(parsed).collect()] == [(None, "no REQUEST_ID")]
+
+
 def test_missing_and_empty_blocks_and_shared_customers(spark):
     card = {"CUSTOMER_ID": 7, "PRIOR_LOAN_ID": 1, "CURRENT_CARD_BALANCE": 4.0}
     prior = [{"CUSTOMER_ID": 7, "PRIOR_LOAN_ID": i, "DAYS_SINCE_DECISION": -i} for i in (1, 2)]
@@ -78,13 +120,13 @@ def test_request_path_equals_table_path(spark, sf):
     for name, df in by_request.items():
         if "CUSTOMER_ID" in df.columns:
             df = df.withColumn("CUSTOMER_ID", F.col("REQUEST_ID").cast("bigint"))
-        as_tables[name] = df.drop("REQUEST_ID")
+        as_tables[name] = df.drop("REQUEST_ID", payload.ROW)
     foreign = by_request["credit_summary"].filter("CUSTOMER_ID >= 1000000")
     as_tables["credit_summary"] = (
         by_request["credit_summary"]
         .join(foreign.select("REQUEST_ID", "CREDIT_RECORD_ID"), ["REQUEST_ID", "CREDIT_RECORD_ID"], "left_anti")
         .withColumn("CUSTOMER_ID", F.col("REQUEST_ID").cast("bigint"))
-        .drop("REQUEST_ID")
+        .drop("REQUEST_ID", payload.ROW)
     )
     plain = wide_features(as_tables)
     loose = [c for c in plain.columns if "_STD_" in c]
