@@ -2,7 +2,8 @@
 
 The SQL below is shared by every engine that reads the same Parquet files: two
 markers differ by dialect, ``{days:COLUMN:DAY}`` (whole days from DAY, negative
-before it) and ``{money}`` (DOUBLE, or DECIMAL(18,4) for exact sums).
+before it) and ``{money}`` (DOUBLE, or DECIMAL(18,4) for exact sums). Raw columns
+that no rule of the data model ties to others are filled from the row's key.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loanloom.schemas import LABELS, TABLE_COLUMNS
+
 STAR_TABLES = ["customer", "orders", "lineitem", "events"]
 
-VIEWS = {
+BASE = {
     "customer_profile": """
 SELECT c_custkey AS CUSTOMER_ID,
  CASE c_nationkey % 6 WHEN 0 THEN 'Job A' WHEN 1 THEN 'Job B' WHEN 2 THEN 'Job C'
@@ -127,6 +130,46 @@ SELECT o_orderkey AS PRIOR_LOAN_ID, o_custkey AS CUSTOMER_ID,
 FROM orders""",
 }
 
+# The key whose remainders fill the other columns of a table.
+FILL_KEYS = {
+    "customer_profile": "CUSTOMER_ID",
+    "card_activity": "PRIOR_LOAN_ID",
+    "prior_loan_history": "PRIOR_LOAN_ID",
+}
+
+
+def _undefined(table: str) -> dict[str, str]:
+    """Declared columns that the table's base view lacks, with their types."""
+    present = set(re.findall(r"\bAS\s+(\w+)\s*(?:,|\nFROM)", BASE[table]))
+    declared = (item.split() for item in TABLE_COLUMNS[table].split(","))
+    return {name: kind for name, kind in declared if name not in present}
+
+
+# Columns filled by rule, with their types.
+FILLED = {table: _undefined(table) for table in FILL_KEYS}
+
+
+def _filler(key: str, n: int, name: str, kind: str) -> str:
+    """A value of the n-th filled column: some rows NULL, numbers of both signs, all labels."""
+    if kind == "string":
+        labels = LABELS[name]
+        cases = " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(labels))
+        return f"CASE ({key} + {n}) % {len(labels) + 1} {cases} END AS {name}"
+    number = "BIGINT" if kind == "bigint" else "{money}"
+    value = f"CAST(({key} * {7 + 2 * n}) % 1000 - 300 AS {number})"
+    return f"CASE WHEN {key} % {11 + n} = 0 THEN NULL ELSE {value} END AS {name}"
+
+
+def _full(table: str) -> str:
+    if table not in FILL_KEYS:
+        return BASE[table]
+    key = FILL_KEYS[table]
+    extra = [_filler(key, n, *item) for n, item in enumerate(FILLED[table].items())]
+    return f"SELECT v.*, {', '.join(extra)}\nFROM ({BASE[table]}) v"
+
+
+VIEWS = {table: _full(table) for table in BASE}
+
 SPARK_DAYS = r"CAST(datediff(CAST(\1 AS DATE), DATE '\2') AS BIGINT)"
 DUCKDB_DAYS = r"CAST(date_diff('day', DATE '\2', CAST(\1 AS DATE)) AS BIGINT)"
 MONEY_EXACT = "DECIMAL(18,4)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loanloom.sources.adapters import FILLED
 from oracle.build import (
     block,
     count_if,
@@ -80,6 +81,10 @@ TEXTS = {
         "CLIENT_TYPE",
     ],
 }
+for _table in ("card_activity", "prior_loan_history"):
+    for _name, _kind in FILLED[_table].items():
+        _list = {"bigint": NUMBERS[_table][0], "double": NUMBERS[_table][1], "string": TEXTS[_table]}
+        _list[_kind].append(_name)
 PREFIX = {
     "credit_summary": "credit_summary",
     "credit_timeline": "credit_timeline",
@@ -420,10 +425,11 @@ def with_blocks(query: str, names: list[str]) -> str:
 
 
 WIDE_NAMES = list(BLOCKS)
+_MONEY = ["MONTHLY_INCOME", "LOAN_AMOUNT"]
+_MONEY += [n for n, kind in FILLED["customer_profile"].items() if kind == "double"]
 WIDE = (
-    "SELECT p.* EXCLUDE (TARGET, MONTHLY_INCOME, LOAN_AMOUNT), "
-    "CAST(p.MONTHLY_INCOME AS DOUBLE) AS MONTHLY_INCOME, "
-    "CAST(p.LOAN_AMOUNT AS DOUBLE) AS LOAN_AMOUNT, "
+    f"SELECT p.* EXCLUDE (TARGET, {', '.join(_MONEY)}), "
+    + "".join(f"CAST(p.{n} AS DOUBLE) AS {n}, " for n in _MONEY)
     + ", ".join(
         f"{b}.* EXCLUDE (CUSTOMER_ID)"
         for b in ("b_summary", "b_timeline", "b_pos", "b_card", "b_prior", "b_inst")

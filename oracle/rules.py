@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loanloom.schemas import RANGE_OVERRIDES
+from loanloom.sources.adapters import FILLED as FILLED_COLUMNS
 from loanloom.sources.request_views import RAW_PROFILE
 from oracle.blocks import WIDE_NAMES, with_blocks
 from oracle.build import duck, with_views
@@ -137,7 +138,7 @@ def quality() -> str:
 def coverage(width: dict[str, int]) -> str:
     parts = [
         "SELECT 'customer_profile' AS stage, count(*) AS n_rows, "
-        "count(DISTINCT CUSTOMER_ID) AS n_customers, 10 AS n_columns FROM v_customer_profile"
+        "count(DISTINCT CUSTOMER_ID) AS n_customers, 50 AS n_columns FROM v_customer_profile"
     ]
     for name, cte in BLOCK_OF.items():
         parts.append(
@@ -151,8 +152,8 @@ WIDTH = {
     "credit_summary": 56,
     "credit_timeline": 60,
     "cash_pos_records": 36,
-    "card_activity": 51,
-    "prior_loan_history": 72,
+    "card_activity": 99,
+    "prior_loan_history": 103,
     "installment_records": 62,
 }
 
@@ -197,6 +198,11 @@ PROFILE_TYPES = {
 }
 
 
+_KINDS = {"bigint": I, "double": F, "string": S}
+for _table, _columns in FILLED_COLUMNS.items():
+    PROFILE_TYPES[_table] |= {name: _KINDS[kind] for name, kind in _columns.items()}
+
+
 def profile(overrides: bool) -> str:
     parts = []
     for table, columns in PROFILE_TYPES.items():

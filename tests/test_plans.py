@@ -27,20 +27,22 @@ def test_plans(spark, sf):
     try:
         t = stored(spark, sf)
         blocks = feature_blocks(t, closed_labels=True)
-        # One shuffle per block, and one more for the distinct count of loans and
-        # for the recent means. The timeline has two levels and a mapping; prior
-        # loans read their range through a one-row subquery that is shown twice.
+        # One shuffle per block, and one more for the recent means and two narrow ones
+        # for the distinct loans. The timeline has two levels and a mapping that may be
+        # split; prior loans read their range through a one-row subquery that is shown
+        # twice.
         counts = {n: exchanges(plan(b)) for n, b in blocks.items()}
         assert counts == {
             "credit_summary": 1,
-            "credit_timeline": 4,
-            "cash_pos_records": 2,
+            "credit_timeline": 5,
+            "cash_pos_records": 3,
             "card_activity": 2,
             "prior_loan_history": 3,
             "installment_records": 1,
         }
         wide = plan(wide_features(t, closed_labels=True))
-        assert exchanges(wide) == sum(counts.values()) + 1  # the profile's own
+        # The distinct customers, and both sides of the last join.
+        assert exchanges(wide) == sum(counts.values()) + 3
         assert "NestedLoop" not in wide and "Cartesian" not in wide
         assert "Python" not in wide
     finally:
