@@ -39,6 +39,7 @@ ROWS = 1 << 15
 FEATURES = 5
 ROUNDS = 2
 BATCH = 4096
+FEW = 8
 RATE = 0.25
 BLOCK_ROWS = 512
 SALTS = 16
@@ -170,18 +171,39 @@ def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def grouped_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows that begin at starts; most are one or a few rows long."""
+    size = np.diff(np.append(starts, len(values)))
+    sums = values[starts]
+    few = np.flatnonzero((size > 1) & (size <= FEW))
+    for step in range(1, FEW):
+        few = few[size[few] > step]
+        sums[few] += values[starts[few] + step]
+    for long in np.flatnonzero(size > FEW):
+        sums[long] = values[starts[long] : starts[long] + size[long]].sum(axis=0)
+    return sums
+
+
 def update(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step over a batch; scale collects squared gradients of each row."""
-    slope = -np.exp(class_logs(weights, rows))
+    slope = weights[rows[:, 1]]
+    for i in range(2, FEATURES):
+        slope += weights[rows[:, i]]
+    slope += weights[0]
+    slope -= slope.max(axis=1, keepdims=True)
+    np.exp(slope, out=slope)
+    slope /= -slope.sum(axis=1, keepdims=True)
     slope[np.arange(len(classes)), classes] += 1.0
-    flat = rows.ravel()
+    # The first feature is the same everywhere; the others are summed by row.
+    flat = rows[:, 1:].astype(np.uint16).ravel()
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
     starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    sums = np.add.reduceat(slope[order // FEATURES], starts, axis=0)
-    own = ranked[starts]
-    scale[own] += np.square(sums).sum(axis=1)
-    weights[own] += RATE * sums / np.sqrt(scale[own] + 1.0)[:, None]
+    sums = grouped_sums(slope[order // (FEATURES - 1)], starts)
+    sums = np.concatenate([slope.sum(axis=0, keepdims=True), sums])
+    own = np.append(0, ranked[starts].astype(np.int64))
+    scale[own] += np.einsum("ij,ij->i", sums, sums)
+    weights[own] += sums * (RATE / np.sqrt(scale[own] + 1.0))[:, None]
 
 
 def _trained(words: Vocabulary, weights: np.ndarray):
