@@ -33,6 +33,7 @@ from loanloom.llm.arrays import Chunk, chunks, mixed
 from loanloom.llm.frames import written
 
 FREQUENT = 1 << 18
+STEPS = 16  # steps of frequency to a doubling
 NAMED = 1 << 12  # tokens that are a feature of their own; others count as their class
 CLASSES = 64
 ROWS = 1 << 15
@@ -118,7 +119,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(
         F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")
     ).first()
-    top = counts.orderBy(F.col("n").desc(), "token").limit(FREQUENT).toPandas()
+    # Whole steps of frequency, from the highest down, that hold FREQUENT tokens at most.
+    step = F.floor(F.log2("n") * STEPS)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    least, held = 64 * STEPS, 0
+    for at, size in sorted(sizes, reverse=True):
+        held += size
+        if held > FREQUENT:
+            break
+        least = at
+    top = counts.filter(step >= least).toPandas()
+    top = top.sort_values(["n", "token"], ascending=[False, True])
     n = top["n"].to_numpy(np.int64)
     # Classes: equal shares of the occurrences, the most frequent tokens first.
     share = (np.cumsum(n) - n / 2) / max(int(n.sum()), 1)
