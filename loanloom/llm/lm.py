@@ -2,7 +2,7 @@
 
 Tokens are the words of a text (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case), then one end. The
 probability of a token is that of its class given the tokens before it, times its probability
-within the class. Classes are ranges of the FREQUENT most frequent training tokens with about
+within the class. Classes are ranges of the most frequent training tokens with about
 equal numbers of occurrences, and one class for all others. The class is predicted by a
 maximum-entropy model over hashed n-gram and skip features (the last token, the two before it
 each with a gap, the last two together). Within a class the model has one feature for each

@@ -194,13 +194,15 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
 def link_classes(prints: DataFrame) -> DataFrame:
     """(print, class): the component, as its smallest fingerprint, of every distinct fingerprint."""
+    # Few bytes become many rows below, so their number of partitions is not left to their size.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = written(prints.select("print").distinct(), "prints")
-    near = components(_close(nodes), "a", "b").withColumnRenamed("node", "print")
+    near = components(_close(nodes.repartition(parts, "print")), "a", "b").withColumnRenamed("node", "print")
     classed = written(
         nodes.join(near, "print", "left").select("print", F.coalesce("root", "print").alias("class")),
         "classes",
     )
-    keyed = _keyed(classed)
+    keyed = _keyed(classed.repartition(parts, "print"))
     index = keyed.filter("own").select("key", F.col("print").alias("to"), F.col("class").alias("b"))
     probe = keyed.select("key", "print", F.col("class").alias("a"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("to")))
