@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-KEPT_PIECES = 300_000
-KEPT_UNITS = 700_000
+KEPT_PIECES = 100_000
+KEPT_UNITS = 400_000
 KEPT_PIECE_BYTES = 64
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
