@@ -6,8 +6,8 @@ within the class. Classes are ranges of the most frequent training tokens with a
 equal numbers of occurrences, and one class for all others. The class is predicted by a
 maximum-entropy model over hashed n-gram and skip features (the last token, the two before it
 each with a gap, the last two together). Within a class the model has one feature for each
-token, whose optimum is the relative frequency; the last class keeps a Good-Turing share for
-tokens never seen in training.
+token, whose optimum is the relative frequency; the last class holds every token that training saw once, and keeps a
+Good-Turing share for tokens never seen. How many tokens are sent does not change that share.
 
 Counts cover all training texts. Weights are trained in ROUNDS passes, each over its own part of
 the training texts: every task runs stochastic gradient updates over its texts and sends the
@@ -33,6 +33,7 @@ from loanloom.llm.arrays import Chunk, chunks, mixed
 from loanloom.llm.frames import written
 
 FREQUENT = 1 << 18
+GIVEN = 0.9  # part of the occurrences of tokens seen once that unseen tokens get
 STEPS = 16  # steps of frequency to a doubling
 NAMED = 1 << 12  # tokens that are a feature of their own; others count as their class
 CLASSES = 64
@@ -98,8 +99,18 @@ class Vocabulary:
 
     @property
     def unseen(self) -> float:
-        """Share of the last class for tokens that training never saw."""
-        return min(0.9, max(self.once, 1) / (self.tail + 1)) if self.tail else 1.0
+        """Share of the last class for tokens that training never saw: GIVEN * once / total of all."""
+        if not self.tail:
+            return 1.0
+        return GIVEN * self.once / self.tail if self.once else GIVEN / (self.tail + 1)
+
+    def seen(self, n: Column) -> Column:
+        """Share of the last class for a token of it that training saw n times.
+
+        Only tokens seen once give to the unseen ones, so that no share depends on FREQUENT.
+        """
+        rest = 1.0 if self.once else 1.0 - self.unseen
+        return F.when(n == 1, 1.0 - GIVEN).otherwise(n * rest) / float(max(self.tail, 1))
 
     def mass(self) -> np.ndarray:
         out = np.bincount(self.classes, self.counts, CLASSES)
@@ -124,11 +135,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
     least, held = 64 * STEPS, 0
     for at, size in sorted(sizes, reverse=True):
-        held += size
+        held += size if at else 0
         if held > FREQUENT:
             break
         least = at
-    top = counts.filter(step >= least).toPandas()
+    # Tokens seen once are in the last class at every size.
+    top = counts.filter((step >= least) & (F.col("n") > 1)).toPandas()
     top = top.sort_values(["n", "token"], ascending=[False, True])
     n = top["n"].to_numpy(np.int64)
     # Classes: equal shares of the occurrences, the most frequent tokens first.
@@ -354,9 +366,8 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     sums = own.select("id", "version", "body").mapInArrow(rows, schema)
     n, v = float(words.total), float(words.distinct)
     # Each token of the last class brings its share, by its count if training saw it.
-    seen = (1.0 - words.unseen) / max(words.tail, 1)
     inner = F.when(F.col("n").isNull(), F.lit(float(np.log10(words.unseen)))).otherwise(
-        F.log10(F.lit(seen) * F.col("n"))
+        F.log10(words.seen(F.col("n")))
     )
     flat = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(n + v + 1))
     met = F.when(F.col("n").isNull(), 0).otherwise(F.col("times"))
