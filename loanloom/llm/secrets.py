@@ -5,7 +5,8 @@ Features are its length, its character transitions (between lower case, upper ca
 others, and between vowels and consonants), how much of it dictionary words cover, what the
 path says (depth, test and example folders) and the words beside it. The dictionary is the
 DICTIONARY most frequent words of all texts. The forest is trained on at most LABELLED labelled
-findings, chosen by hash, and scores all findings. Everything is DataFrame functions and Spark ML.
+findings, half of them at most of each class, chosen by hash and with equal weights of both
+classes, and scores all findings. Everything is DataFrame functions and Spark ML.
 
 Null and empty texts have no candidate; a null path or id is allowed. Repeated rows give repeated
 findings. If labelled findings lack one of the two classes nothing is removed and the score is
@@ -108,16 +109,20 @@ def featured(findings: DataFrame, words: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame):
     """A forest from findings with FEATURES and a boolean `real`; None if a class is missing."""
-    chosen = (
-        labelled.filter("real IS NOT NULL").orderBy(F.xxhash64("row", "nth"), "row", "nth").limit(LABELLED)
-        .select(F.col("real").cast("double").alias("label"), *FEATURES)
+    order = (F.xxhash64("row", "nth"), "row", "nth")
+    real, other = (
+        labelled.filter(F.col("real") == is_real).orderBy(*order).limit(LABELLED // 2)
+        for is_real in (True, False)
     )
+    chosen = real.union(other).select(F.col("real").cast("double").alias("label"), *FEATURES)
     rows = written(chosen, "labelled")
-    if rows.select("label").distinct().count() < 2:
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return None
+    weight = F.when(F.col("label") == 1, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * sum(sizes.values())
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(vectors.select("label", "features"))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight")
+    return forest.fit(vectors.select("label", "features", weight.alias("weight")))
 
 
 def scored(findings: DataFrame, model) -> DataFrame:
