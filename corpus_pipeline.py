@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, decontaminate, langid, lines, similar
+from loanloom.llm import bpe, decontaminate, langid, lines, simhash
 from loanloom.llm.frames import fresh, written
 from loanloom.llm.queries import RANKS
 
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with five-word similarities of 0.8 or more."""
-    return similar.one_of_each(docs)
+    """One document of each component of fingerprints of three-word shingles within three bits."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
