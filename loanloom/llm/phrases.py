@@ -44,7 +44,7 @@ SCALE = 2_000_000
 COVERED = 80
 FIRST = 2000
 UNKNOWN = "und"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 SCREEN_BITS = 1 << 27
 SALTS = 16
 
