@@ -45,7 +45,8 @@ COVERED = 80
 FIRST = 2000
 UNKNOWN = "und"
 CHUNK_BYTES = 3 << 19
-SCREEN_BITS = 1 << 27
+SLICE_ROWS = 500
+SCREEN_BITS = 1 << 26
 SALTS = 16
 
 _CUT = np.zeros(256, bool)
@@ -120,7 +121,7 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], screens: list[np.ndarray])
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             langs, coded = batch.column(0), numbers(batch.column(0))
             for chunk in chunks(batch.column(1), CHUNK_BYTES):
                 end = chunk.first + len(chunk)
@@ -137,6 +138,13 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], screens: list[np.ndarray])
     return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches a few at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def _found(pieces: Pieces, langs: pa.Array, sizes: tuple[int, ...], screens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     keys, follows = pieces.keys, pieces.follows()
     here = np.ones(len(keys), bool)
