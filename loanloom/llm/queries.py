@@ -88,8 +88,8 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels of three quarters of them."""
     held = langid.held_out(F.col("doc_id"), 4, 2)
     docs = documents(spark, sf_dir).select("doc_id", "text", held.alias("held_out"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scorer = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = toxicity.fit(docs.filter(~F.col("held_out")), labels)
     scored = toxicity.scored(docs, scorer)
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
     return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))

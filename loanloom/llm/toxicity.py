@@ -17,7 +17,7 @@ and absent in the other keeps its full ratio. A word is a context for the next o
 class has it in CONTEXT texts: behind rarer words the next one only tells copies apart.
 
 The models are fitted on a bounded sample of labelled texts, for each class at most about SAMPLE_DOCS
-texts and SAMPLE_BYTES bytes, chosen by a hash of the text; texts that repeat with the same label
+texts and SAMPLE_BYTES bytes, chosen by a hash of id and text; texts that repeat with the same label
 count once. The curve is fitted on the same texts, each judged by models learnt from the other
 half, and weighted so that the sampled classes have the shares they have among all labels.
 
@@ -178,20 +178,29 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def sample(labelled: DataFrame, text_col: str, label_col: str) -> tuple[DataFrame, dict[int, float]]:
-    """(body, toxic, fold) of the sampled distinct texts, and the share of each class among all."""
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("body"), (F.col(label_col) != 0).cast("int").alias("toxic")
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
+           label_col: str) -> tuple[DataFrame, dict[int, float]]:
+    """(body, toxic, fold) of the sampled distinct texts, and the share of each class among all.
+
+    Documents meet their labels by id, hash and size; only the sampled ones with their text.
+    """
+    body = F.coalesce(docs[text_col], F.lit(""))
+    own = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], body).alias("hash"), body.alias("body"))
+    given = labels.filter(labels[label_col].isNotNull()).select(
+        labels[id_col].alias("id"), (labels[label_col] != 0).cast("int").alias("toxic")
     )
-    size = F.octet_length("body").cast("long")
+    sized = own.select("id", "hash", F.octet_length("body").cast("long").alias("size"))
+    rows = written(sized.join(given, "id").select("id", "hash", "size", "toxic"), "toxicity-labelled")
     totals = {r["toxic"]: r for r in rows.groupBy("toxic").agg(
-        F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}
+        F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
     n = sum(r["n"] for r in totals.values())
-    # A text longer than a tenth of the bound is too large a part of it.
     part = {k: min(1.0, SAMPLE_DOCS / r["n"], SAMPLE_BYTES / max(r["bytes"], 1)) for k, r in totals.items()}
-    place = F.pmod(F.xxhash64("body", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
     limit = F.when(F.col("toxic") == 1, part.get(1, 0.0)).otherwise(part.get(0, 0.0))
-    chosen = rows.filter((place < limit) & (size <= SAMPLE_BYTES // 10)).distinct()
+    # A text longer than a tenth of the bound is too large a part of it.
+    picked = rows.filter((place < limit) & (F.col("size") <= SAMPLE_BYTES // 10)).select("id", "hash", "toxic")
+    # About 2 * SAMPLE_DOCS rows at most, whatever the input.
+    chosen = own.join(F.broadcast(picked.distinct()), ["id", "hash"]).select("body", "toxic").distinct()
     fold = F.pmod(F.xxhash64("body", F.lit("fold")), F.lit(FOLDS)).cast("int")
     return chosen.withColumn("fold", fold), {k: r["n"] / n for k, r in totals.items()}
 
@@ -244,9 +253,10 @@ def _model(tables: tuple[np.ndarray, np.ndarray, np.ndarray], without: int | Non
     return Model(Counts(key[a], of[:, a], key[b], of[:, b], head[b]), least)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    """Models and curve from the labelled texts; label 0 is ordinary, any other toxic."""
-    chosen, shares = sample(labelled, text_col, label_col)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        label_col: str = "toxic") -> Scorer:
+    """Models and curve from the documents that have a label; 0 is ordinary, any other toxic."""
+    chosen, shares = sample(docs, labels, id_col, text_col, label_col)
     if len(shares) < 2:
         return Scorer(None, None, 1.0 if 1 in shares else 0.0)
     chosen = written(chosen, "toxicity-sample")
