@@ -206,6 +206,14 @@ def _merged(level: DataFrame, below: DataFrame, part: str, new: str, before: str
     return joined.select(*level.columns, parts.alias(new))
 
 
+def weakest_cut() -> Column:
+    """(score, cut, l, r) of the lowest-scoring cut of a phrase with counts a, ls and rs."""
+    return F.expr(
+        f"array_min(transform(sequence(1, size(ls)), c -> struct((cast(a AS decimal(20,0)) * {SCALE}) "
+        "div cast(ls[c - 1] + rs[c - 1] AS decimal(20,0)) AS score, c AS cut, ls[c - 1] AS l, rs[c - 1] AS r)))"
+    )
+
+
 def _exact(value: Column) -> Column:
     return value.cast("decimal(20,0)")
 
@@ -241,11 +249,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     covered = _exact(F.col("most")) * 100 >= _exact(F.col("a")) * COVERED
     candidates = reduce(DataFrame.unionByName, merged)
     kept = candidates.join(most.hint("merge"), same, "left").filter(~F.coalesce(covered, F.lit(False)))
-    cuts = F.expr(
-        f"array_min(transform(sequence(1, size(ls)), c -> struct((cast(a AS decimal(20,0)) * {SCALE}) "
-        "div cast(ls[c - 1] + rs[c - 1] AS decimal(20,0)) AS score, c AS cut, ls[c - 1] AS l, rs[c - 1] AS r)))"
-    )
-    scored = kept.select("lang", "phrase", "a", cuts.alias("best")).select("lang", "phrase", "a", "best.*")
+    scored = kept.select("lang", "phrase", "a", weakest_cut().alias("best")).select("lang", "phrase", "a", "best.*")
     return _ranked(scored, first).join(totals, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )

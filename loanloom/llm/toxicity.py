@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanloom.llm.arrays import Chunk, chunks, mixed
-from loanloom.llm.frames import written
+from loanloom.llm.frames import fresh, written
 
 SAMPLE_DOCS = 5_000
 SAMPLE_BYTES = 4 << 20
@@ -140,12 +140,11 @@ class Model:
         for chunk in word_chunks(texts):
             found = chunk.words()
             ratio = self.ratios(found.hashes(), found.first)
-            sums = np.concatenate([[0.0], np.cumsum(ratio)])
             for i in np.flatnonzero(found.counts()):
-                a, b = found.first[i], found.first[i + 1]
-                size = min(PASSAGE, b - a)
-                part = sums[a : b + 1]
-                out[chunk.first + i] = (part[-1] - part[0]) / (b - a), (part[size:] - part[:-size]).max() / size
+                own = ratio[found.first[i] : found.first[i + 1]]
+                size = min(PASSAGE, len(own))
+                sums = np.concatenate([[0.0], np.cumsum(own)])
+                out[chunk.first + i] = sums[-1] / len(own), (sums[size:] - sums[:-size]).max() / size
         return out
 
 
@@ -286,8 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of docs, then the score under the given name (which docs must not have)."""
-    at = docs.columns.index(text_col)
+    """All columns of docs, then the score; where docs has its name, underscores are added to it."""
+    at, name = docs.columns.index(text_col), fresh(docs, name)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

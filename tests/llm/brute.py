@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -140,3 +141,82 @@ def leaks(docs: list[tuple], items: list[tuple]) -> set:
                 if both >= 0.8 * (have.total() + want.total() - both):
                     out.add((key, item))
     return out
+
+
+def netstring(value) -> str:
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def hashed(*nodes: str) -> str:
+    return sha("".join(nodes).encode())
+
+
+def tree(nodes: list[str]) -> tuple[str, list[list[tuple]]]:
+    """The root over runs of three, and for each node what stands beside its path."""
+    steps, at, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+    while len(level) > 1:
+        for i in range(len(nodes)):
+            first = at[i] // 3 * 3
+            steps[i].append((level[first : at[i]], level[at[i] + 1 : first + 3]))
+            at[i] //= 3
+        level = [hashed(*level[i : i + 3]) for i in range(0, len(level), 3)]
+    return level[0], steps
+
+
+def manifest(docs: list[tuple]) -> list[tuple]:
+    """Rows of the Merkle manifest from (doc_id, source, lang, n_chars, text)."""
+
+    def leaf(row):
+        return hashed(*map(netstring, row))
+
+    by: dict = {}
+    for row in docs:
+        by.setdefault(row[1], []).append(row)
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for source in order:
+        rows = sorted(by[source], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[source] = (rows, *tree([leaf(r) for r in rows]))
+    root, above = tree([trees[source][1] for source in order])
+    out = []
+    for i, source in enumerate(order):
+        rows, subroot, steps = trees[source]
+        for row, own in zip(rows, steps):
+            path, text = own + above[i], row[4]
+            if row[0] is not None and text is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            node = leaf((*row[:4], text))
+            for left, right in path:
+                node = hashed(*left, node, *right)
+            proof = hashed(*[x for left, right in path for x in (*left, *right)])
+            out.append((row[0], leaf(row), subroot, root, proof, node, node == root))
+    return out
+
+
+def collocations(docs: list[tuple], least: int, first: int) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from (lang, text)."""
+    found: dict[str, Counter] = {}
+    words: Counter = Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        own = found.setdefault(lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            words[lang] += len(w)
+            own.update(tuple(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in found.items():
+        chosen = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        gone = {
+            q[i : i + k]
+            for q, b in chosen.items() for k in range(2, len(q)) for i in range(len(q) - k + 1)
+            if 100 * b >= 80 * chosen[q[i : i + k]]
+        }
+        rows = []
+        for p, a in chosen.items():
+            if p not in gone:
+                score, k = min((2000000 * a // (counts[p[:k]] + counts[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:first], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, words[lang], -score))
+    return out

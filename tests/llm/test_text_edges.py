@@ -2,9 +2,12 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loanloom.llm import bpe, langid, lines, lm, quality, radix, secrets, simhash, suffixtree
+from loanloom.llm import (
+    bpe, langid, lines, lm, merkle, phrases, quality, radix, secrets, simhash, suffixtree, toxicity,
+)
 from loanloom.llm.components import components
 from loanloom.llm.queries import RANKS
 
@@ -18,7 +21,15 @@ def pattern():
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def toxic(df):
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    out = toxicity.scored(df, toxicity.fit(df, labels))
+    return out.select("doc_id", F.col(out.columns[-1]).alias("toxicity"))
+
+
 OPERATORS = {
+    "manifest": lambda df: merkle.manifest(df, merkle.newlines_deleted(df)),
+    "toxicity": toxic,
     "language": lambda df: langid.predict(df, langid.fit(df)),
     "line_report": lines.line_report,
     "drop_lines": lines.drop_lines,
@@ -87,3 +98,14 @@ def test_components_of_chains_and_stars(spark):
 
 def test_secret_scan_of_edges(frame):
     assert secrets.scan(frame(PAIRS)).collect() == []
+
+
+def test_phrases_of_edges(frame):
+    assert phrases.collocations(frame(PAIRS).filter("false")).collect() == []
+    rows = [(1, "A b\ta b"), (2, "a  b. a b"), (2, "a  b. a b"), (None, None), (3, ""), (4, "a"), (5, LONG)]
+    crowded = frame(rows)
+    for column in (*CLASHES, "phrase", "k", "a", "head", "ls", "n", "salt", "e_lang"):
+        crowded = crowded.selectExpr("*", f"'clash' AS {column}")
+    got = {r["phrase"]: r for r in phrases.collocations(crowded, least=6).collect()}
+    assert {k: r["a"] for k, r in got.items() if len(k) < 4} == {"a b": 6}
+    assert got["a b"]["score"] == 2_000_000 * 6 // (7 + 6)
