@@ -110,14 +110,14 @@ def unmapped_report(records: DataFrame, mapping: DataFrame, keys=(CUSTOMER,)) ->
     """Describe the mean record age of mapped and of unmapped records."""
     on = record_keys(keys)
     age = F.col(f"{PREFIX}_agg_{MONTH}_mean").alias("value")
-    # How often a record is mapped is all that counts, so its customers never meet it.
+    # A record counts once for each of its customers, as a weight: it is never repeated.
     times = mapping.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    found = records.join(times, on, "left").select("n", age)
-    flagged = found.select(
+    flagged = records.join(times, on, "left").select(
         F.when(F.col("n").isNull(), "unmapped").otherwise("mapped").alias("records"),
-        F.explode(F.array_repeat("value", F.coalesce("n", F.lit(1)).cast("int"))).alias("value"),
+        age,
+        F.coalesce("n", F.lit(1)).alias("times"),
     )
-    return describe(flagged, "records", "value")
+    return describe(flagged, "records", "value", weight="times")
 
 
 def per_customer(
