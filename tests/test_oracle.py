@@ -14,7 +14,7 @@ def con(sf):
 
 def test_names_match():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"boosted_scores", "linear_explanations"}
+    assert set(QUERIES) - set(ORACLE) == {"boosted_scores", "boosted_explanations", "linear_explanations"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -209,14 +209,13 @@ def test_model_round_trip(spark, sf, tmp_path):
     scored = training.score(again, data.rows).select("CUSTOMER_ID", "probability_of_default")
     first = training.score(model, data.rows).select("CUSTOMER_ID", "probability_of_default")
     assert differences(spark_table(scored), spark_table(first)) == []
-    _, linear = training.train_linear(data, iterations=5)
     schema = FeatureSchema(
         [*data.numbers, *data.texts],
         {**{n: "float64" for n in data.numbers}, **{n: "category" for n in data.texts}},
     )
     wide = wide_features(t).withColumn("REQUEST_ID", F.col("CUSTOMER_ID").cast("string"))
-    rows = scoring.prediction_rows(scoring.model_scorer(model, schema, linear)(wide))
+    rows = scoring.prediction_rows(scoring.model_scorer(again, schema)(wide))
     probabilities = {r[0]: r[1] for r in first.collect()}
     for r in rows.collect():
         assert r["default_probability"] == pytest.approx(probabilities[r["CUSTOMER_ID"]])
-        assert len(r["explanations"]) == 3
+        assert 1 <= len(r["explanations"]) <= 3
