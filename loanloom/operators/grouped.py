@@ -2,10 +2,12 @@
 
 A most-frequent label is found by counting each label of the column's declared
 domain: fixed-width counters keep the aggregate in generated code, where the
-built-in ``mode`` needs an object map per group. Labels outside the domain are
-counted on a side path, from the rows that carry one, per (key, column, label)
-before anything meets per key; a hot key or a column with very many labels
-therefore never gathers in one task. Ties go to the smallest label.
+built-in ``mode`` needs an object map per group. A label outside the domain makes
+its row appear once more, tagged with the column and the label. One aggregate by key
+and tag then holds the group itself, without a tag, and the count of each stray label
+beside it, all combined map-side; the next one puts a key's tags together. The table
+is read once, and a hot key or a column with very many labels never gathers in one task.
+Ties go to the smallest label.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from loanloom.schemas import LABELS, UNKNOWN
 _KNOWN = "__known_"
 _RARE = "__rare_"
 _STRAY = "__stray_"
+_AT, _TAG, _LABEL, _N = "__at", "__tag", "__label", "__n"
 
 
 def _known_best(name: str, labels: list[str]) -> str:
@@ -43,38 +46,38 @@ def _strays(name: str, labels: list[str]) -> str:
     return f"count_if(`{name}` IS NOT NULL {outside})"
 
 
-def _is_rare(name: str, labels: list[str]) -> Column:
+def _outside(name: str, labels: list[str]) -> Column:
     known = F.col(name).isin(labels) if labels else F.lit(False)
     return F.col(name).isNotNull() & ~known
 
 
-def rare_labels(
-    df: DataFrame, keys: list[str], names: list[str], labels: dict[str, list[str]]
+def _tagged(rows: DataFrame, names: list[str], labels: dict[str, list[str]]) -> DataFrame:
+    """Every row without a tag, and once more for each of its labels outside the domain."""
+    kind = "struct<name: string, label: string>"
+    stray = {name: _outside(name, labels.get(name, [])) for name in names}
+    tags = [F.when(is_stray, F.struct(F.lit(name).alias("name"), F.col(name).alias("label"))) for name, is_stray in stray.items()]
+    none = F.lit(None).cast(kind)
+    # Rows without a stray label, nearly all of them, make no more than an array of one.
+    tag = F.when(reduce(or_, stray.values()), F.array(none, *tags)).otherwise(F.array(none))
+    marked = rows.select("*", F.posexplode(tag).alias(_AT, _TAG))
+    kept = marked.filter((F.col(_AT) == 0) | F.col(_TAG).isNotNull()).drop(_AT)
+    return kept.withColumns({_TAG: F.col(f"{_TAG}.name"), _LABEL: F.col(f"{_TAG}.label")})
+
+
+def _with_strays(
+    rows: DataFrame, keys: list[str], columns: list[Column], names: list[str], labels: dict[str, list[str]]
 ) -> DataFrame:
-    """Per key, the most frequent out-of-domain label of each column."""
-    entries = [
-        F.struct(
-            F.lit(name).alias("name"),
-            F.when(_is_rare(name, labels.get(name, [])), F.col(name)).alias("label"),
-        )
-        for name in names
-    ]
-    has_rare = reduce(or_, [_is_rare(name, labels.get(name, [])) for name in names])
-    counts = (
-        df.filter(has_rare)
-        .select(*keys, F.explode(F.array(*entries)).alias("entry"))
-        .select(*keys, "entry.*")
-        .filter(F.col("label").isNotNull())
-        .groupBy(*keys, "name", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """The columns by key, and the most frequent stray label of each name."""
+    counted = _tagged(rows, names, labels).groupBy(*keys, _TAG, _LABEL).agg(*columns, F.count(F.lit(1)).alias(_N))
+    own = [c for c in counted.columns if c not in (*keys, _TAG, _LABEL, _N)]
     best = [
-        F.min(F.when(F.col("name") == name, F.struct((-F.col("n")).alias("n"), "label"))).alias(
+        F.min(F.when(F.col(_TAG) == name, F.struct((-F.col(_N)).alias("n"), F.col(_LABEL).alias("label")))).alias(
             _RARE + name
         )
         for name in names
     ]
-    return counts.groupBy(*keys).agg(*best)
+    group = [F.max(F.when(F.col(_TAG).isNull(), F.col(f"`{c}`"))).alias(c) for c in own]
+    return counted.groupBy(*keys).agg(*group, *best)
 
 
 def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,8 +96,8 @@ def grouped(
     """Aggregate ``df`` by ``keys``.
 
     ``measures`` maps result names to SQL aggregates, ``modes`` maps result names
-    to label columns. ``closed_labels=True`` drops the side path for labels outside
-    the declared domains; the same aggregate counts them, and the query fails if there
+    to label columns. ``closed_labels=True`` does without tags for labels outside
+    the declared domains; one aggregate counts them, and the query fails if there
     is one.
     """
     modes = modes or {}
@@ -105,13 +108,14 @@ def grouped(
     if closed_labels:
         best |= {_STRAY + name: _strays(name, labels.get(name, [])) for name in names}
     columns = [measure(sql, alias) for alias, sql in {**measures, **best}.items()]
-    out = rows.groupBy(*keys).agg(*columns)
     if not names:
-        return out
+        return rows.groupBy(*keys).agg(*columns)
 
     known = {name: f"`{_KNOWN}{name}`" for name in names}
-    if not closed_labels:
-        out = out.join(rare_labels(rows, keys, names, labels), keys, "left")
+    if closed_labels:
+        out = rows.groupBy(*keys).agg(*columns)
+    else:
+        out = _with_strays(rows, keys, columns, names, labels)
         known = {name: f"least({sql}, `{_RARE}{name}`)" for name, sql in known.items()}
     labelled = {n: f"coalesce({sql}.label, {quoted(UNKNOWN)})" for n, sql in known.items()}
     if closed_labels:

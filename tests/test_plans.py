@@ -45,6 +45,12 @@ def test_plans(spark, sf):
         assert exchanges(wide) == sum(counts.values()) + 3
         assert "NestedLoop" not in wide and "Cartesian" not in wide
         assert "Python" not in wide
+        # Labels outside their domains cost one narrow exchange for each aggregate with modes
+        # (the timeline has two), and no scan or join.
+        default = plan(wide_features(t))
+        assert exchanges(default) == exchanges(wide) + 6
+        for step in ("SortMergeJoin", "Scan parquet"):
+            assert default.count(step) == wide.count(step)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
