@@ -165,6 +165,14 @@ def category_domains(spark, sf):
     return domains.select("feature", F.array_join("categories", "|").alias("categories"))
 
 
+def label_codes(spark, sf):
+    """Every label of the profile's categories and of the prior loans' texts with its dense code."""
+    profile = alignment.label_codes(_profile(spark, sf), CATEGORIES)
+    prior = table(spark, sf, "prior_loan_history")
+    names = [f.name for f in prior.schema if f.dataType.typeName() == "string"]
+    return profile.unionByName(alignment.label_codes(prior, names))
+
+
 def category_codes(spark, sf):
     filled = _profile(spark, sf).select(CUSTOMER, *CATEGORIES).fillna(MISSING)
     coded = category_indexer(CATEGORIES).fit(filled).transform(filled)
@@ -243,6 +251,7 @@ QUERIES = {
         union_batches,
         category_domains,
         category_codes,
+        label_codes,
         quality_report,
         block_coverage,
         column_profile,

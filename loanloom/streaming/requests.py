@@ -1,8 +1,8 @@
 """Score requests as they arrive.
 
-Requests are independent, so no state crosses micro-batches. Each batch is scored
-by the batch code and written to a directory of its own that a retry overwrites,
-which makes the output exactly-once.
+Each batch is scored by the batch code and written to a directory of its own that a retry
+overwrites, which makes the output exactly-once. Requests are independent; only where repeats are
+to be left out does state cross micro-batches, and a watermark on the arrival time bounds it.
 """
 
 from __future__ import annotations
@@ -14,16 +14,32 @@ from loanloom.plans.scoring import Scorer, payload_features, prediction_rows
 from loanloom.schemas import REQUEST
 from loanloom.sources.payload import parse, rejects
 
+ARRIVED = "arrived"
 
-def request_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Requests from a directory of JSON lines {REQUEST_ID, body}."""
+
+def request_stream(
+    spark: SparkSession, path: str, files_per_batch: int = 100, with_arrival: bool = False
+) -> DataFrame:
+    """Requests from a directory of JSON lines {REQUEST_ID, body}, and `arrived` if they have it."""
+    arrival = f", {ARRIVED} timestamp" if with_arrival else ""
     return (
-        spark.readStream.schema(f"{REQUEST} string, body string")
+        spark.readStream.schema(f"{REQUEST} string, body string{arrival}")
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
     )
 
 
+def without_repeats(requests: DataFrame, within: str) -> DataFrame:
+    """The first arrival of each request; what repeats its id and body is left out.
+
+    A repeat is found if it arrives at most ``within`` after the first; later ones may
+    pass, since the state of a request is dropped then. Requests that share only the id
+    are different. Needs the column `arrived`; state survives restarts in the checkpoint.
+    """
+    timed = requests.withWatermark(ARRIVED, within)
+    return timed.dropDuplicatesWithinWatermark([REQUEST, "body"]).drop(ARRIVED)
+
+
 def score_batch(parsed: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
     """(predictions, rejects) of a set of parsed requests."""
     return prediction_rows(scorer(payload_features(parsed))), rejects(parsed)
@@ -35,8 +51,14 @@ def start_scoring(
     output: str,
     checkpoint: str,
     available_now: bool = True,
+    repeats_within: str | None = None,
 ):
-    """Start the scoring stream; predictions and rejects land under ``output``."""
+    """Start the scoring stream; predictions and rejects land under ``output``.
+
+    With ``repeats_within``, such as '1 hour', repeated requests are scored once.
+    """
+    if repeats_within is not None:
+        requests = without_repeats(requests, repeats_within)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Seven tables read the batch, so it is parsed once and kept while they do.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanloom.schemas import RANGE_OVERRIDES
+from loanloom.schemas import RANGE_OVERRIDES, table_schema
 from loanloom.sources.adapters import FILLED as FILLED_COLUMNS
 from loanloom.sources.request_views import RAW_PROFILE
 from oracle.blocks import WIDE_NAMES, with_blocks
@@ -109,6 +109,13 @@ CODES = ", ".join(
     for c in CATEGORIES
 )
 
+PRIOR_TEXTS = [f.name for f in table_schema("prior_loan_history") if f.dataType.typeName() == "string"]
+LABEL_CODES = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS code "
+    f"FROM (SELECT DISTINCT {c} AS label FROM {view} WHERE {c} IS NOT NULL)"
+    for view, names in ((P, CATEGORIES), ("v_prior_loan_history", PRIOR_TEXTS)) for c in names
+)
+
 BLOCK_OF = {
     "credit_summary": "b_summary",
     "credit_timeline": "b_timeline",
@@ -328,6 +335,7 @@ def oracle() -> dict[str, str]:
         ),
         "category_domains": with_views(DOMAINS),
         "category_codes": with_views(f"SELECT CUSTOMER_ID, {CODES} FROM {P}"),
+        "label_codes": with_views(LABEL_CODES),
         "quality_report": quality(),
         "block_coverage": coverage(WIDTH),
         "column_profile": profile(False),
