@@ -121,6 +121,12 @@ def wide(spark, sf):
     return as_double(single(out, LOOSE + LOOSE_TIMELINE))
 
 
+def wide_features_compat(spark, sf):
+    """All features under doubled and lambda names."""
+    out = wide_features(tables(spark, sf), closed_labels=True, compat_names=True)
+    return as_double(single(out, LOOSE + LOOSE_TIMELINE))
+
+
 QUERIES = {
     **{name: _features(module, source) for name, (module, source) in FEATURES.items()},
     **{f"numeric_agg_{name}": _numeric(name) for name in PREFIXES},
@@ -139,4 +145,5 @@ QUERIES = {
     "timeline_unmapped": timeline_unmapped,
     "timeline_final": timeline_final,
     "wide_features": wide,
+    "wide_features_compat": wide_features_compat,
 }

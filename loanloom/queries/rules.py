@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loanloom.functions.aggregates import numeric_columns
 from loanloom.functions.cleaning import to_bigint, typed_amount, with_clean_id
 from loanloom.operators import alignment, labels, quality, risk
 from loanloom.operators.alignment import FeatureSchema
+from loanloom.operators.explanations import top_explanations
 from loanloom.operators.quantiles import describe_columns
 from loanloom.plans.scoring import rule_explanations
 from loanloom.plans.training import category_indexer
 from loanloom.plans.wide import feature_blocks
 from loanloom.queries.common import as_double, table, tables
-from loanloom.schemas import CUSTOMER, LABELS, MISSING, RULE_WEIGHTS
+from loanloom.queries.features import wide
+from loanloom.schemas import CUSTOMER, LABELS, LOAN, MISSING, RULE_WEIGHTS
 from loanloom.session import configure
 from loanloom.sources.adapters import run_sql
 from loanloom.sources.request_views import RAW_PROFILE
+from loanloom.sources.shared import written
 
 
 def _profile(spark, sf):
@@ -144,9 +148,9 @@ def fill_training(spark, sf):
 
 
 def drop_all_null(spark, sf):
-    profile = _profile(spark, sf).select(CUSTOMER, risk.EXTERNAL, risk.OCCUPATION)
+    """The wide table, written once for its two passes, and a column that no row fills."""
     empty = F.when(F.col(CUSTOMER) < 0, F.lit("x"))
-    return alignment.drop_all_null(profile.withColumn("NEVER_FILLED", empty))
+    return alignment.drop_all_null(written(wide(spark, sf).withColumn("NEVER_FILLED", empty), "wide"))
 
 
 def union_batches(spark, sf):
@@ -219,9 +223,32 @@ def profile_overrides(spark, sf):
     return _flat(quality.with_overrides(_column_profile(spark, sf)))
 
 
+# Given weights of a linear score over columns of the profile.
+LINEAR_WEIGHTS = {
+    "LOAN_AMOUNT": 0.00002,
+    "MONTHLY_INCOME": -0.0001,
+    "LOAN_TERM_MONTHS": 0.01,
+    "NUM_CHILDREN": 0.003,
+    "AGE_DAYS": -0.002,
+    "EMPLOYMENT_DURATION_DAYS": 0.00005,
+    "EXTERNAL_CREDIT_SCORE": -1.5,
+}
+
+
+def linear_attribution(spark, sf):
+    """The three columns that move a linear score of given weights most, by distance from their means."""
+    shown = {n: (n, n) for n in LINEAR_WEIGHTS}
+    rows = top_explanations(_profile(spark, sf), LINEAR_WEIGHTS, shown)
+    return rows.select(CUSTOMER, F.posexplode("explanations").alias("pos", "e")).select(
+        CUSTOMER, "pos", "e.feature", "e.value", F.round("e.impact", 9).alias("impact"),
+        "e.direction",
+    )
+
+
 def numeric_summary(spark, sf):
+    """Every number of the prior loans but the identifiers."""
     prior = table(spark, sf, "prior_loan_history")
-    names = ["REQUESTED_LOAN_AMOUNT", "LOAN_AMOUNT", "DAYS_SINCE_DECISION", "PLANNED_NUM_PAYMENTS"]
+    names = numeric_columns(prior, exclude=(CUSTOMER, LOAN))
     out = describe_columns(prior, names)
     loose = ("mean", "std", "q25", "q50", "q75")
     return out.select(*[F.round(c, 4).alias(c) if c in loose else F.col(c) for c in out.columns])
@@ -257,5 +284,6 @@ QUERIES = {
         column_profile,
         profile_overrides,
         numeric_summary,
+        linear_attribution,
     )
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.schemas import CHILD_TABLES, REQUEST, table_schema
+from loanloom.schemas import CHILD_TABLES, LABELS, REQUEST, table_schema
 from loanloom.sources.adapters import run_sql
 
 REQUEST_ORDERS = """
@@ -28,6 +28,23 @@ EMPTY_BLOCK = {"cash_pos_records": "k % 7 = 0"}
 
 _STATUS = "CASE (k + {i}) % 4 WHEN 0 THEN 'Status A' WHEN 1 THEN 'Status B' WHEN 2 THEN 'Status C' END"
 
+
+def _with_fillers(table: str, columns: dict[str, str]) -> dict[str, str]:
+    """The columns, and by rule all others that the table declares: some NULL, both signs, all labels."""
+    missing = [f for f in table_schema(table, drop=("TARGET",)) if f.name not in columns]
+    out = dict(columns)
+    for n, field in enumerate(missing):
+        if field.dataType.typeName() == "string":
+            labels = LABELS[field.name]
+            cases = " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(labels))
+            out[field.name] = f"CASE (k + {n} + {{i}}) % {len(labels) + 1} {cases} END"
+        else:
+            number = field.dataType.simpleString()
+            value = f"CAST((k * {7 + 2 * n} + {{i}}) % 1000 - 300 AS {number})"
+            out[field.name] = f"CASE WHEN (k + {{i}}) % {11 + n} = 0 THEN NULL ELSE {value} END"
+    return out
+
+
 PROFILE = {
     "CUSTOMER_ID": "CASE WHEN k % 83 = 0 THEN NULL ELSE CUSTOMER_ID END",
     "OCCUPATION_TYPE": "CASE nation % 6 WHEN 0 THEN 'Job A' WHEN 1 THEN 'Job B' WHEN 2 THEN 'Job C' WHEN 3 THEN 'Job D' WHEN 4 THEN 'Job E' END",
@@ -37,6 +54,7 @@ PROFILE = {
     "EMPLOYMENT_DURATION_DAYS": "CAST(-30 - (k * 97) % 14571 AS BIGINT)",
     "EXTERNAL_CREDIT_SCORE": "CASE WHEN k % 17 = 0 THEN NULL ELSE CAST((k * 31) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) END",
 }
+PROFILE = _with_fillers("customer_profile", PROFILE)
 # Per child table: how many rows, and the columns of row {i}.
 ROWS = {"credit_summary": 2, "credit_timeline": 4, "prior_loan_history": 2}
 CHILDREN = {
@@ -98,6 +116,7 @@ CHILDREN = {
         "DAYS_UNTIL_FINAL_PAYMENT": "CASE WHEN k % 7 = 0 THEN NULL ELSE CAST((k * 23) % 1200 - 600 AS DOUBLE) END",
     },
 }
+CHILDREN = {table: _with_fillers(table, columns) for table, columns in CHILDREN.items()}
 
 OVERRIDES = """
 SELECT CAST(o_orderkey AS STRING) AS REQUEST_ID,
@@ -159,7 +178,7 @@ def child_sql(table: str) -> str:
     for i in range(ROWS.get(table, 1)):
         columns = []
         for name, kind in types.items():
-            sql = CHILDREN[table].get(name, "NULL").replace("{i}", str(i))
+            sql = CHILDREN[table][name].replace("{i}", str(i))
             columns.append(f"CAST({sql} AS {kind}) AS {name}")
         selects.append(
             f"SELECT REQUEST_ID, {', '.join(columns)} FROM requests WHERE NOT ({skip})"
@@ -169,7 +188,7 @@ def child_sql(table: str) -> str:
 
 def profile_sql() -> str:
     columns = [
-        f"CAST({PROFILE.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+        f"CAST({PROFILE[f.name].replace('{i}', '0')} AS {f.dataType.simpleString()}) AS {f.name}"
         for f in table_schema("customer_profile", drop=("TARGET",))
     ]
     return f"SELECT REQUEST_ID, {', '.join(columns)} FROM requests WHERE NOT ({NO_PROFILE})"

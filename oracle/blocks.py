@@ -441,6 +441,21 @@ WIDE = (
     )
 )
 
+_I = PREFIX["installment_records"]
+_RAW = [s.rsplit(" AS ", 1)[1] for s in generic_stats("installment_records")]
+_DELAYS = {
+    f"{_I}_ABS_MEAN_PAYMENT_DELAY": f"{_I}_MEAN_PAYMENT_DELAY_x",
+    f"{_I}_MEAN_PAYMENT_DELAY": f"{_I}_MEAN_PAYMENT_DELAY_y",
+}
+_LAMBDAS = {f"{x}_most_frequent": f"{x}_<lambda>" for x in RECORD_TEXTS}
+# The raw installment statistics twice, the two delays and the record-level modes renamed.
+COMPAT = (
+    f"SELECT w.* EXCLUDE ({', '.join([*_RAW, *_DELAYS, *_LAMBDAS])}), "
+    + ", ".join(f"w.{n} AS {n}_x, w.{n} AS {n}_y" for n in _RAW)
+    + "".join(f', w.{n} AS "{new}"' for n, new in {**_DELAYS, **_LAMBDAS}.items())
+    + f" FROM ({WIDE}) w"
+)
+
 
 def oracle() -> dict[str, str]:
     out = {
@@ -466,6 +481,7 @@ def oracle() -> dict[str, str]:
         "timeline_mapping": with_views(f"SELECT * FROM {MAPPED}"),
         "timeline_final": with_blocks("SELECT * FROM b_timeline", ["mapped", "b_timeline"]),
         "wide_features": with_blocks(WIDE, WIDE_NAMES),
+        "wide_features_compat": with_blocks(COMPAT, WIDE_NAMES),
         "installment_row_flags": with_views(
             "SELECT CUSTOMER_ID, PRIOR_LOAN_ID, INSTALLMENT_SEQUENCE_NUMBER, "
             "CAST(PAYMENT_RATIO AS DOUBLE) AS PAYMENT_RATIO, MISSED_PAYMENT, LATE_PAYMENT, "

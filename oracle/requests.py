@@ -8,7 +8,6 @@ from loanloom.sources.request_views import (
     NO_ID,
     NO_PROFILE,
     OVERRIDES,
-    PROFILE,
     REQUEST_ORDERS,
     child_sql,
     profile_sql,
@@ -122,16 +121,12 @@ FEATURES = "SELECT p.*, " + ", ".join(
 )
 
 
-def child_keys() -> str:
+def all_child_rows() -> str:
     parts = []
     for t in CHILD_TABLES:
         names = [f.name for f in table_schema(t)]
-        columns = [
-            n if n in names else f"CAST(NULL AS BIGINT) AS {n}"
-            for n in ("CUSTOMER_ID", "CREDIT_RECORD_ID", "PRIOR_LOAN_ID")
-        ]
-        parts.append(f"SELECT REQUEST_ID, '{t}' AS \"table\", {', '.join(columns)} FROM r_{t}")
-    return " UNION ALL ".join(parts)
+        parts.append(f"SELECT REQUEST_ID, '{t}' AS \"table\", {', '.join(names)} FROM r_{t}")
+    return " UNION ALL BY NAME ".join(parts)
 
 
 SCENARIO = f"""
@@ -148,10 +143,8 @@ LEFT JOIN r_cash_pos_records c ON c.REQUEST_ID = p.REQUEST_ID"""
 def oracle() -> dict[str, str]:
     more = "".join(f", {n} AS ({sql})" for n, sql in BLOCKS.items())
     return {
-        "payload_profile": with_requests(
-            f"SELECT REQUEST_ID, {', '.join(PROFILE)} FROM r_profile", []
-        ),
-        "payload_child_rows": with_requests(child_keys(), CHILD_TABLES),
+        "payload_profile": with_requests("SELECT * FROM r_profile", []),
+        "payload_child_rows": with_requests(all_child_rows(), CHILD_TABLES),
         "payload_rejects": with_requests(
             "SELECT REQUEST_ID, reason FROM all_requests WHERE reason IS NOT NULL", []
         ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from loanloom.schemas import RANGE_OVERRIDES, table_schema
 from loanloom.sources.adapters import FILLED as FILLED_COLUMNS
 from loanloom.sources.request_views import RAW_PROFILE
-from oracle.blocks import WIDE_NAMES, with_blocks
+from oracle.blocks import WIDE, WIDE_NAMES, with_blocks
 from oracle.build import duck, with_views
 
 P = (
@@ -39,22 +39,36 @@ WEIGHTS = {
     "occupation_risk": ("35e-2", "OCCUPATION_TYPE"),
     "long_term": ("10e-2", "LOAN_TERM_MONTHS"),
 }
-MEANS = ", ".join(
-    f"CAST(sum(CAST({t} AS DECIMAL(28,8))) AS DOUBLE) / count(*) AS m_{t}" for t in WEIGHTS
-)
-IMPACTS = " UNION ALL ".join(
-    f"SELECT CUSTOMER_ID, '{source}' AS feature, CAST({source} AS VARCHAR) AS value, "
-    f"{w} * ({t} - m_{t}) AS impact FROM terms, centers"
-    for t, (w, source) in WEIGHTS.items()
-)
-TOP3 = f"""
+LINEAR = {
+    "LOAN_AMOUNT": "2e-5",
+    "MONTHLY_INCOME": "-1e-4",
+    "LOAN_TERM_MONTHS": "1e-2",
+    "NUM_CHILDREN": "3e-3",
+    "AGE_DAYS": "-2e-3",
+    "EMPLOYMENT_DURATION_DAYS": "5e-5",
+    "EXTERNAL_CREDIT_SCORE": "-15e-1",
+}
+
+
+def top3(terms: str, weights: dict[str, tuple[str, str]]) -> str:
+    """The three largest of weight times distance from the mean; a NULL term is at the mean."""
+    means = ", ".join(
+        f"CAST(sum(CAST({t} AS DECIMAL(28,8))) AS DOUBLE) / count({t}) AS m_{t}" for t in weights
+    )
+    impacts = " UNION ALL ".join(
+        f"SELECT CUSTOMER_ID, '{source}' AS feature, CAST({source} AS VARCHAR) AS value, "
+        f"{w} * (coalesce(CAST({t} AS DOUBLE), m_{t}) - m_{t}) AS impact FROM terms, centers"
+        for t, (w, source) in weights.items()
+    )
+    return f"""
 SELECT CUSTOMER_ID, pos, feature, value, round(impact, 9) AS impact,
  CASE WHEN impact > 0 THEN 'increased risk' ELSE 'reduced risk' END AS direction
-FROM (WITH terms AS (SELECT * FROM {TERMS}), centers AS (SELECT {MEANS} FROM terms)
+FROM (WITH terms AS (SELECT * FROM {terms}), centers AS (SELECT {means} FROM terms)
  SELECT *, CAST(row_number() OVER (PARTITION BY CUSTOMER_ID ORDER BY abs(impact) DESC, feature)
-  - 1 AS INTEGER) AS pos FROM ({IMPACTS}))
+  - 1 AS INTEGER) AS pos FROM ({impacts}))
 WHERE pos < 3"""
 
+
 DTI = f"""(SELECT *, CASE WHEN MONTHLY_INCOME > 0 AND LOAN_AMOUNT > 0 AND LOAN_TERM_MONTHS > 0
  THEN LOAN_AMOUNT / CAST(LOAN_TERM_MONTHS AS DOUBLE) / MONTHLY_INCOME END AS dti FROM {P})"""
 MOST = "MONTHLY_INCOME * CAST(LOAN_TERM_MONTHS AS DOUBLE) * 3e-1"
@@ -244,7 +258,9 @@ def profile(overrides: bool) -> str:
 
 def summary() -> str:
     parts = []
-    for c in ("REQUESTED_LOAN_AMOUNT", "LOAN_AMOUNT", "DAYS_SINCE_DECISION", "PLANNED_NUM_PAYMENTS"):
+    for c, kind in PROFILE_TYPES["prior_loan_history"].items():
+        if kind == S or c in ("CUSTOMER_ID", "PRIOR_LOAN_ID"):
+            continue
         x = f"CAST({c} AS DOUBLE)"
         parts.append(
             f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", "
@@ -269,7 +285,8 @@ def oracle() -> dict[str, str]:
             "CASE WHEN CAST(replace(formatted_probability, '%', '') AS DOUBLE) > 50 "
             f"THEN 'high-risk' ELSE 'low-risk' END AS score_class FROM {DECIDED}"
         ),
-        "top3_explanations": with_views(TOP3),
+        "top3_explanations": with_views(top3(TERMS, WEIGHTS)),
+        "linear_attribution": with_views(top3(P, {t: (w, t) for t, w in LINEAR.items()})),
         "dti_check": with_views(
             "SELECT CUSTOMER_ID, round(dti, 9) AS dti_ratio, "
             "NOT coalesce(dti > 3e-1, false) AS dti_accepted, "
@@ -325,9 +342,7 @@ def oracle() -> dict[str, str]:
             "coalesce(MONTHLY_INCOME, 0) AS MONTHLY_INCOME, "
             f"coalesce(HOUSING_TYPE, 'Missing') AS HOUSING_TYPE FROM ({TYPED})"
         ),
-        "drop_all_null": with_views(
-            f"SELECT CUSTOMER_ID, EXTERNAL_CREDIT_SCORE, OCCUPATION_TYPE FROM {P}"
-        ),
+        "drop_all_null": with_blocks(WIDE, WIDE_NAMES),
         "union_batches": with_views(
             "SELECT CUSTOMER_ID, CASE WHEN LOAN_CONTRACT_TYPE = 'Loan Type A' THEN OCCUPATION_TYPE END AS "
             "OCCUPATION_TYPE, CASE WHEN LOAN_CONTRACT_TYPE <> 'Loan Type A' THEN EXTERNAL_CREDIT_SCORE END AS "
