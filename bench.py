@@ -49,7 +49,7 @@ def cases(spark, sf_dir):
     arriving = written(requests(spark, sf_dir).repartition(threads), "arriving")
 
     def request_features():
-        return payload_features(payload.stage(payload.parse(arriving)), closed_labels=True)
+        return payload_features(payload.route(arriving), closed_labels=True)
 
     return {
         "block_credit_summary": block("credit_summary"),

@@ -146,13 +146,18 @@ def per_customer(
 
 def block(
     timeline: DataFrame,
-    summary: DataFrame,
+    summary: DataFrame | None,
     keys=(CUSTOMER,),
     closed_labels: bool = False,
     compat_names: bool = False,
 ) -> DataFrame:
-    """History per customer: record level, mapping through the summary, customer level."""
+    """History per customer: record level, mapping through the summary, customer level.
+
+    Without a summary the rows of the timeline carry the keys themselves.
+    """
     records = per_record(timeline, record_keys(keys), closed_labels)
+    if summary is None:
+        return per_customer(records, keys, closed_labels, compat_names)
     mapping = record_customer_map(summary, keys)
     mapped = map_to_customers(records, mapping, keys)
     return per_customer(mapped, keys, closed_labels, compat_names)

@@ -23,8 +23,12 @@ def feature_blocks(
     keys=(CUSTOMER,),
     closed_labels: bool = False,
     compat_names: bool = False,
+    timeline_mapped: bool = False,
 ) -> dict[str, DataFrame]:
-    """The feature block of every table that is present, one row per key each."""
+    """The feature block of every table that is present, one row per key each.
+
+    With ``timeline_mapped`` the timeline has the keys itself and needs no summary for them.
+    """
     simple = {
         "credit_summary": credit_summary.block,
         "cash_pos_records": cash_pos.block,
@@ -39,7 +43,7 @@ def feature_blocks(
         if "credit_timeline" in tables:
             blocks["credit_timeline"] = credit_timeline.block(
                 tables["credit_timeline"],
-                tables["credit_summary"],
+                None if timeline_mapped else tables["credit_summary"],
                 keys,
                 closed_labels,
                 compat_names,
@@ -58,8 +62,8 @@ def merge_blocks(profile: DataFrame, blocks: list[DataFrame], keys=(CUSTOMER,))
     """Left-join blocks onto the profile.
 
     Every block is already hash-partitioned on the keys by its own aggregate. Requests
-    are unique, so there the joins add one exchange for the profile and none for the
-    blocks. A customer may have any number of profile rows: the blocks meet on the
+    are unique, so there the joins add at most one exchange for the profile and none for
+    the blocks, and hold one partition's row per request in memory. A customer may have any number of profile rows: the blocks meet on the
     distinct customers, and the last join can be split where one customer is frequent.
     Profiles without a key match nothing; they bypass the joins rather than meet in one
     task.
@@ -71,7 +75,8 @@ def merge_blocks(profile: DataFrame, blocks: list[DataFrame], keys=(CUSTOMER,))
     elif keys == [CUSTOMER]:
         joined = join_unique(rows, joined_blocks(rows, blocks, keys), keys, "left")
     else:
-        joined = reduce(lambda left, right: left.join(right, keys, "left"), blocks, rows)
+        held = [b.hint("shuffle_hash") for b in blocks]
+        joined = reduce(lambda left, right: left.join(right, keys, "left"), held, rows)
     return joined.unionByName(keyless, allowMissingColumns=True)
 
 
@@ -81,6 +86,7 @@ def wide_features(
     closed_labels: bool = False,
     compat_names: bool = False,
     keep_target: bool = False,
+    timeline_mapped: bool = False,
 ) -> DataFrame:
     """Profile columns and all features, one row per profile row.
 
@@ -91,6 +97,6 @@ def wide_features(
     profile = tables["customer_profile"]
     if CUSTOMER not in profile.columns:
         raise ValueError(f"customer_profile has no {CUSTOMER} column")
-    blocks = feature_blocks(tables, keys, closed_labels, compat_names)
+    blocks = feature_blocks(tables, keys, closed_labels, compat_names, timeline_mapped)
     rows = profile if keep_target else profile.drop("TARGET")
     return merge_blocks(rows, list(blocks.values()), keys)

@@ -21,10 +21,24 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[st
     return {t: read_table(spark, f"{root}/{t}", t, fmt) for t in TABLE_COLUMNS}
 
 
-def write_bucketed(df: DataFrame, name: str, buckets: int, key: str = CUSTOMER) -> None:
-    """Store a table bucketed by its key, so that aggregates and joins on the key
-    need no shuffle when it is read back."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def write_bucketed(
+    df: DataFrame,
+    name: str,
+    buckets: int,
+    key: str = CUSTOMER,
+    path: str | None = None,
+    placed: bool = False,
+) -> DataFrame:
+    """Store a table bucketed by its key and read it back.
+
+    Aggregates and joins on the key then need no shuffle. The rows are shuffled here
+    once, one file to a bucket, unless they are ``placed`` already. A bucket is one task
+    of every later query, so this is for keys of which none holds a large part of the rows.
+    """
+    rows = df if placed else df.repartition(buckets, key)
+    writer = rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def write_column_profile(profile: DataFrame, path: str) -> None:
