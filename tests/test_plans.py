@@ -3,8 +3,11 @@
 import re
 
 from loanloom.operators.blocks import card_activity, cash_pos, credit_summary, credit_timeline
+from loanloom.plans.scoring import payload_features
 from loanloom.plans.wide import feature_blocks, wide_features
+from loanloom.sources import payload
 from loanloom.sources.adapters import lending_tables
+from loanloom.sources.request_views import requests
 from loanloom.sources.shared import written
 
 
@@ -73,3 +76,18 @@ def test_scans_read_only_what_they_use(spark, sf):
     text = plan(credit_timeline.record_customer_map(summary))
     assert "ReadSchema: struct<CUSTOMER_ID:bigint,CREDIT_RECORD_ID:bigint>" in text
     assert "IsNotNull(CUSTOMER_ID)" in text
+
+
+def test_routed_requests_are_shuffled_once(spark, sf):
+    """The move into buckets is the only one: blocks, recent rows, loans and joins need none."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        routed = payload.route(requests(spark, sf), buckets=4)
+        for closed in (True, False):
+            text = plan(payload_features(routed, closed_labels=closed))
+            assert "Exchange" not in text
+            # The distinct loans and the recent means are joined within their blocks.
+            assert text.count("SortMergeJoin") == 2 and text.count("ShuffledHashJoin") == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
