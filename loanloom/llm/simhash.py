@@ -4,13 +4,17 @@ A text's fingerprint has a bit set if more than half of its word shingles' XXH64
 hashes have it set. Two documents are linked if their fingerprints differ in at
 most three bits; the result is the connected component of every document.
 
-A fingerprint is cut into three segments, each put into a 23-bit word. Three
-errors leave two segments with at most one error each. In the perfect binary
-Golay code every word has one codeword within distance 3, so of two words that
-differ in one bit, the codeword nearest to the one lies within distance 4 of the
-other. Each pair of segments therefore gives one key on the index side (both
-nearest codewords) and up to 36 keys on the probe side (codewords within distance
-4), and equal keys find every link; the join verifies the distance.
+A fingerprint is cut into five segments. In the perfect binary Golay code of 23-bit words
+every word has one codeword within distance 3. Of two segments that differ in one bit, either
+both have the same nearest codeword, or each one's nearest lies at distance 4 from the other.
+A key leaves out one segment, decodes two to codeword indices and takes two as they are.
+The ten choices in CUTS are such that, however three errors fall, one of them has at most
+one error in each decoded segment and none in those taken whole. A text has its nearest
+codewords as a key on both sides of the join; the left side's further keys replace the first
+index by those of the codewords at distance 4, the right side's the second, so two errors meet
+in the middle. That is about 53 keys on a side, equal keys find every link, and the join verifies
+the distance. Two whole segments and two decoded ones hold some 36 bits, so that pairs of
+unrelated texts that share a key number 6e-10 times the square of the texts.
 
 Work stays linear in groups of copies: equal fingerprints are one node; nodes that
 share a neighbour at distance 1 are joined first through that neighbour (a bit mask
@@ -36,10 +40,14 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 
-# Generator polynomial of the binary Golay code of length 23; segments as (shift, bits).
+# Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0xAE3
 LENGTH, CHECK_BITS = 23, 11
-SEGMENTS = ((42, 22), (21, 21), (0, 21))
+# (shift, bits) of each segment; (two decoded, two whole) of each key, the fifth left out.
+SEGMENTS = ((51, 13), (38, 13), (25, 13), (12, 13), (0, 12))
+CUTS = tuple(
+    (((x + a) % 5, (x - a) % 5), ((x + 3 - a) % 5, (x - 3 + a) % 5)) for x in range(5) for a in (1, 2)
+)
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -113,27 +121,22 @@ class Golay:
 _codes: list[Golay] = []
 
 
-def segment_keys(prints: np.ndarray) -> list[np.ndarray]:
-    """For each segment, the six codeword indices of every fingerprint."""
+def link_keys(prints: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the keys of every fingerprint on the left (0) or right (1) side of the join."""
     if not _codes:
         _codes.append(Golay())
     own = prints.view(np.uint64)
-    cut = [(own >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s, bits in SEGMENTS]
-    return [_codes[0].keys(x.astype(np.int64)) for x in cut]
-
-
-def probe_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, nearest): all keys of the fingerprints; nearest marks the index side's own."""
-    keys = segment_keys(prints)
-    rows, found, own = [], [], []
-    for n, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        left = np.repeat(keys[a], 6, axis=1)
-        right = np.tile(keys[b], (1, 6))
-        row, at = np.nonzero((left >= 0) & (right >= 0))
+    whole = [(own >> np.uint64(s) & np.uint64((1 << bits) - 1)).astype(np.int64) for s, bits in SEGMENTS]
+    near = [_codes[0].keys(x) for x in whole]
+    rows, found = [], []
+    for n, (decoded, taken) in enumerate(CUTS):
+        rest = (n << 13 | whole[taken[0]]) << 13 | whole[taken[1]]
+        words, fixed = near[decoded[side]], near[decoded[1 - side]][:, 0]
+        row, at = np.nonzero(words >= 0)
+        pair = (words[row, at], fixed[row])
         rows.append(row)
-        found.append(n << 24 | left[row, at] << 12 | right[row, at])
-        own.append(at == 0)
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(own)
+        found.append((rest[row] << 12 | pair[side]) << 12 | pair[1 - side])
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def fingerprints(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -172,24 +175,19 @@ def _close(nodes: DataFrame) -> DataFrame:
     return members.filter("a <> b").distinct()
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(key, print, class, own): every key of every node."""
+def _keyed(nodes: DataFrame, side: int) -> DataFrame:
+    """(key, print, class): every key of every node on one side of the join."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                row, key, own = probe_keys(np.asarray(part.column(0)))
+                row, key = link_keys(np.asarray(part.column(0)), side)
                 at = pa.array(row)
-                yield pa.record_batch(
-                    [pa.array(key.astype(np.int32)), part.column(0).take(at),
-                     part.column(1).take(at), pa.array(own)],
-                    ["key", "print", "class", "own"],
-                )
-
-    return nodes.select("print", "class").mapInArrow(
-        rows, "key int, print long, class long, own boolean"
-    )
+                columns = [pa.array(key), part.column(0).take(at), part.column(1).take(at)]
+                yield pa.record_batch(columns, ["key", "print", "class"])
+
+    return nodes.select("print", "class").mapInArrow(rows, "key long, print long, class long")
 
 
 def link_classes(prints: DataFrame) -> DataFrame:
@@ -202,13 +200,12 @@ def link_classes(prints: DataFrame) -> DataFrame:
         nodes.join(near, "print", "left").select("print", F.coalesce("root", "print").alias("class")),
         "classes",
     )
-    keyed = _keyed(classed.repartition(parts, "print"))
-    index = keyed.filter("own").select("key", F.col("print").alias("to"), F.col("class").alias("b"))
-    probe = keyed.select("key", "print", F.col("class").alias("a"))
-    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("to")))
+    spread = classed.repartition(parts, "print")
+    left, right = (_keyed(spread, i).alias(side) for i, side in enumerate("lr"))
+    apart = F.expr("bit_count(l.print ^ r.print)")
     links = (
-        probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & (apart <= RADIUS))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        left.join(right, F.expr("l.key = r.key AND l.class <> r.class") & (apart <= RADIUS))
+        .select(F.greatest("l.class", "r.class").alias("a"), F.least("l.class", "r.class").alias("b"))
         .distinct()
     )
     far = components(links, "a", "b").withColumnRenamed("node", "class")

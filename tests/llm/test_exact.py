@@ -1,5 +1,6 @@
 """Operators with one right answer, against brute force and DuckDB."""
 
+import itertools
 import random
 
 import brute
@@ -101,15 +102,28 @@ def test_links_of_three_bits(spark):
 
 def test_golay_keys_meet():
     rnd = random.Random(5)
-    x = np.array([rnd.getrandbits(64) for _ in range(500)], np.uint64)
+    x = np.array([rnd.getrandbits(64) for _ in range(4000)], np.uint64)
     flips = [sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in x]
-    keys, index = {}, {}
-    for i, k, _ in zip(*simhash.probe_keys(x)):
-        keys.setdefault(i, set()).add(k)
-    for i, k, own in zip(*simhash.probe_keys(x ^ np.array(flips, np.uint64))):
-        if own:
-            index.setdefault(i, set()).add(k)
-    assert all(keys[i] & index[i] for i in range(len(x)))
+    near = x ^ np.array(flips, np.uint64)
+    left = set(zip(*(a.tolist() for a in simhash.link_keys(x, 0))))
+    right = set(zip(*(a.tolist() for a in simhash.link_keys(near, 1))))
+    assert {row for row, _ in left & right} == set(range(len(x)))
+
+
+def test_every_fall_of_three_errors_has_a_cut():
+    for at in itertools.combinations_with_replacement(range(5), 3):
+        errors = [at.count(s) for s in range(5)]
+        assert any(all(errors[s] <= 1 for s in decoded) and not any(errors[s] for s in taken)
+                   for decoded, taken in simhash.CUTS)
+
+
+def test_unrelated_keys_are_rare():
+    """Pairs of random fingerprints that share a key: far fewer than fingerprints."""
+    prints = np.random.default_rng(9).integers(-(2**63), 2**63, 60_000, dtype=np.int64)
+    left, right = (np.unique(simhash.link_keys(prints, i)[1], return_counts=True) for i in (0, 1))
+    both, i, j = np.intersect1d(left[0], right[0], return_indices=True)
+    own = 10 * len(prints)
+    assert (left[1][i] * right[1][j]).sum() - own < len(prints) / 1000
 
 
 def test_counts(spark, sf, documents):
