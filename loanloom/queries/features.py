@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loanloom.operators import sketches
 from loanloom.operators.blocks import (
     card_activity,
     cash_pos,
@@ -13,6 +14,7 @@ from loanloom.operators.blocks import (
     prior_loans,
 )
 from loanloom.operators.blocks.generic import categorical_modes, numeric_aggregates
+from loanloom.operators.grouped import with_keys
 from loanloom.plans.wide import wide_features
 from loanloom.queries.common import (
     LOOSE,
@@ -78,6 +80,26 @@ def loan_age_group(spark, sf):
     return rows.select("CUSTOMER_ID", "PRIOR_LOAN_ID", "TIME_SINCE_ENTRY", "LOAN_AGE_GROUP")
 
 
+def pos_loans_by_sketch(spark, sf):
+    """Loans of every customer, merged from the sketches of each month."""
+    rows = table(spark, sf, "cash_pos_records")
+    monthly = sketches.pos_loans(rows, "TIME_SINCE_ENTRY")
+    return sketches.distinct_counts(monthly, name="NUM_POS_LOANS")
+
+
+def customers_by_month(spark, sf):
+    """Customers with point-of-sale loans by month: large groups, within five per cent of the exact count."""
+    rows = table(spark, sf, "cash_pos_records")
+    month = ("TIME_SINCE_ENTRY",)
+    found = sketches.distinct_counts(
+        sketches.distinct_sketches(rows, "CUSTOMER_ID", month), month, "approximate"
+    )
+    exact = with_keys(rows.select(*month, "CUSTOMER_ID"), list(month)).distinct().groupBy(*month)
+    both = exact.agg(F.count("CUSTOMER_ID").alias("customers")).join(found, list(month))
+    near = F.abs(F.col("approximate") - F.col("customers")) <= 0.05 * F.col("customers")
+    return both.select(*month, "customers", near.alias("within_bound"))
+
+
 def decision_bin(spark, sf):
     rows = prior_loans.with_decision_bin(table(spark, sf, "prior_loan_history"))
     return rows.select("CUSTOMER_ID", "PRIOR_LOAN_ID", prior_loans.DECISION, prior_loans.BIN)
@@ -138,6 +160,8 @@ QUERIES = {
     "card_last_n_avg": card_last_n_avg,
     "installment_row_flags": installment_row_flags,
     "loan_age_group": loan_age_group,
+    "pos_loans_by_sketch": pos_loans_by_sketch,
+    "customers_by_month": customers_by_month,
     "decision_bin": decision_bin,
     "max_overdue_status": max_overdue_status,
     "record_customer_map": record_customer_map,

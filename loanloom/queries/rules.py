@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loanloom.functions.aggregates import numeric_columns
@@ -10,6 +12,7 @@ from loanloom.operators import alignment, labels, quality, risk
 from loanloom.operators.alignment import FeatureSchema
 from loanloom.operators.explanations import top_explanations
 from loanloom.operators.quantiles import describe_columns
+from loanloom.plans import stored
 from loanloom.plans.scoring import rule_explanations
 from loanloom.plans.training import category_indexer
 from loanloom.plans.wide import feature_blocks
@@ -19,7 +22,7 @@ from loanloom.schemas import CUSTOMER, LABELS, LOAN, MISSING, RULE_WEIGHTS
 from loanloom.session import configure
 from loanloom.sources.adapters import run_sql
 from loanloom.sources.request_views import RAW_PROFILE
-from loanloom.sources.shared import written
+from loanloom.sources.shared import shared_folder, written
 
 
 def _profile(spark, sf):
@@ -36,6 +39,15 @@ def rule_score(spark, sf):
     )
 
 
+def frozen_rule_score(spark, sf):
+    """All profiles scored by the rule as fitted on one type of loan, stored and read back."""
+    profile = _profile(spark, sf)
+    path = f"{shared_folder(spark)}/rule-{uuid.uuid4().hex}"
+    stored.write_rule(spark, stored.fit_rule(profile.filter("LOAN_CONTRACT_TYPE = 'Loan Type A'")), path)
+    scored = stored.read_rule(spark, path)(profile)
+    return scored.select(CUSTOMER, *RULE_WEIGHTS, "default_probability")
+
+
 def prediction_record(spark, sf):
     return _scored(spark, sf).select(
         CUSTOMER,
@@ -258,6 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_score,
+        frozen_rule_score,
         prediction_record,
         top3_explanations,
         dti_check,

@@ -490,6 +490,14 @@ def oracle() -> dict[str, str]:
         "loan_age_group": with_views(
             "SELECT CUSTOMER_ID, PRIOR_LOAN_ID, TIME_SINCE_ENTRY, LOAN_AGE_GROUP FROM " + POS_ROWS
         ),
+        "pos_loans_by_sketch": with_views(
+            "SELECT CUSTOMER_ID, count(DISTINCT PRIOR_LOAN_ID) AS NUM_POS_LOANS FROM v_cash_pos_records "
+            "WHERE CUSTOMER_ID IS NOT NULL AND TIME_SINCE_ENTRY IS NOT NULL GROUP BY CUSTOMER_ID"
+        ),
+        "customers_by_month": with_views(
+            "SELECT TIME_SINCE_ENTRY, count(DISTINCT CUSTOMER_ID) AS customers, TRUE AS within_bound "
+            "FROM v_cash_pos_records WHERE TIME_SINCE_ENTRY IS NOT NULL GROUP BY TIME_SINCE_ENTRY"
+        ),
         "decision_bin": with_views(
             "SELECT CUSTOMER_ID, PRIOR_LOAN_ID, DAYS_SINCE_DECISION, DAYS_SINCE_DECISION_BIN FROM "
             + PRIOR_ROWS

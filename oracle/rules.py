@@ -32,6 +32,12 @@ SCORED = f"""(SELECT *, greatest(1e-2, least(95e-2, 5e-2 + 20e-2 * big_loan + 15
 DECIDED = f"""(SELECT *, CAST(default_probability > 5e-1 AS INTEGER) AS prediction,
  printf('%.2f%%', default_probability * 100) AS formatted_probability FROM {SCORED})"""
 
+# The rule with medians frozen on the loans of one type.
+FITTED = FILLED.replace(
+    "FROM v_customer_profile)", "FROM v_customer_profile WHERE LOAN_CONTRACT_TYPE = 'Loan Type A')"
+)
+FROZEN = SCORED.replace(TERMS, FITTED.join(TERMS.rsplit(FILLED, 1)))
+
 WEIGHTS = {
     "big_loan": ("20e-2", "LOAN_AMOUNT"),
     "long_employed": ("15e-2", "EMPLOYMENT_DURATION_DAYS"),
@@ -278,6 +284,10 @@ def oracle() -> dict[str, str]:
             "SELECT CUSTOMER_ID, big_loan, long_employed, bad_external_score, occupation_risk, "
             f"long_term, default_probability FROM {SCORED}"
         ),
+        "frozen_rule_score": with_views(
+            "SELECT CUSTOMER_ID, big_loan, long_employed, bad_external_score, occupation_risk, "
+            f"long_term, default_probability FROM {FROZEN}"
+        ),
         "prediction_record": with_views(
             "SELECT CUSTOMER_ID, prediction, default_probability, formatted_probability, "
             "CASE WHEN prediction = 1 THEN 'High Risk (Default Likely)' "
