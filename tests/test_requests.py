@@ -11,6 +11,7 @@ from loanloom.operators.alignment import FeatureSchema, schema_of
 from loanloom.operators.explanations import baseline_means
 from loanloom.plans import scoring, training
 from loanloom.plans.wide import wide_features
+from loanloom.queries.requests import QUERIES
 from loanloom.schemas import RULE_WEIGHTS
 from loanloom.sources import payload, tables
 from loanloom.sources.adapters import lending_tables
@@ -219,3 +220,12 @@ def test_model_round_trip(spark, sf, tmp_path):
     for r in rows.collect():
         assert r["default_probability"] == pytest.approx(probabilities[r["CUSTOMER_ID"]])
         assert 1 <= len(r["explanations"]) <= 3
+
+
+def test_each_body_is_parsed_once(spark, sf):
+    """No condition holds a copy of the parser, and the bodies are made in many tasks."""
+    for name in ("payload_profile", "payload_rejects", "scenario_override"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("from_json(") == 1, name
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert requests(spark, sf).select(F.spark_partition_id()).distinct().count() == tasks
