@@ -59,7 +59,8 @@ def exact_quantiles(
     times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     rows = df.select(F.col(series).alias("s"), F.col(value).cast("double").alias("v"), times.alias("w"))
     rows = rows.filter("v IS NOT NULL AND s IS NOT NULL AND w > 0")
-    rows = ordered_bits(rows, "v", "bits")
+    # A value has bits. Said openly, or each join below checks it, with all of the arithmetic copied into a filter.
+    rows = ordered_bits(rows, "v", "bits").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
     ranks = [f"r{i}" for i in range(2 * len(probabilities))]
 
     shift = STEP * (ROUNDS - 1)

@@ -113,3 +113,11 @@ def test_selection_orders_no_values(spark):
     ordered = [line for line in plan.splitlines() if "windowspecdefinition" in line and "ASC" in line]
     assert ordered and all("cell" in line and "v#" not in line.split("windowspecdefinition")[1] for line in ordered)
     assert "percentile" not in plan
+
+
+def test_no_filter_repeats_the_arithmetic(spark):
+    """The joins of the rounds do not check the bits, which are there for every value."""
+    df = spark.createDataFrame([("x", 1.0)], "column string, value double")
+    plan = quantiles.exact_quantiles(df, "column", "value", [0.5])._jdf.queryExecution().optimizedPlan()
+    filters = [line for line in plan.toString().splitlines() if "Filter" in line]
+    assert filters and not any("LOG2" in line.upper() for line in filters)
