@@ -2,6 +2,7 @@
 
 import re
 
+from loanloom.operators import quality
 from loanloom.operators.blocks import card_activity, cash_pos, credit_summary, credit_timeline
 from loanloom.plans.scoring import payload_features
 from loanloom.plans.wide import feature_blocks, wide_features
@@ -91,3 +92,24 @@ def test_routed_requests_are_shuffled_once(spark, sf):
             assert text.count("SortMergeJoin") == 2 and text.count("ShuffledHashJoin") == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_column_profile_joins_its_table_once(spark, sf):
+    """Numbers and labels of a table that comes from a join are read in the same pass."""
+    rows = lending_tables(spark, sf)["cash_pos_records"]
+    text = plan(quality.column_profile(rows, "cash_pos_records"))
+    joins = re.findall(r"\b(?:SortMerge|BroadcastHash|ShuffledHash)Join\b", text)
+    assert len(joins) == 1
+
+
+def test_column_profile_of_odd_columns(spark):
+    rows = spark.createDataFrame(
+        [("b", None, 1, True), ("", None, None, None), (None, None, 3, False), ("b", None, 3, True)],
+        "label string, never string, n bigint, flag boolean",
+    )
+    found = {r["column"]: r for r in quality.column_profile(rows, "t").collect()}
+    assert sorted(found) == ["label", "n"]
+    assert found["label"]["categories"] == ["", "b"] and found["label"]["min"] is None
+    assert (found["n"]["min"], found["n"]["max"], found["n"]["categories"]) == (1.0, 3.0, None)
+    none = {r["column"]: r for r in quality.column_profile(rows.filter("false"), "t").collect()}
+    assert sorted(none) == ["n"] and none["n"]["mean"] is None
