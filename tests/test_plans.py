@@ -94,6 +94,22 @@ def test_routed_requests_are_shuffled_once(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def joined_columns(node) -> list[int]:
+    """How many columns each join of a plan hands on."""
+    below = node.children()
+    found = [n for i in range(below.size()) for n in joined_columns(below.apply(i))]
+    return [*found, node.output().size()] if node.nodeName() == "Join" else found
+
+
+def test_blocks_meet_as_one_column_each(spark, sf):
+    """Of several hundred columns, each join would copy all in code that the JVM does not compile."""
+    routed = payload.route(requests(spark, sf), buckets=4)
+    for df in (payload_features(routed), wide_features(stored(spark, sf), closed_labels=True)):
+        assert len(df.columns) > 300
+        # The widest are joins within a block: its main aggregate and its recent means or loans.
+        assert max(joined_columns(df._jdf.queryExecution().optimizedPlan())) < 130
+
+
 def test_column_profile_joins_its_table_once(spark, sf):
     """Numbers and labels of a table that comes from a join are read in the same pass."""
     rows = lending_tables(spark, sf)["cash_pos_records"]
