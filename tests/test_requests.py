@@ -11,8 +11,9 @@ from loanloom.operators.alignment import FeatureSchema, schema_of
 from loanloom.operators.explanations import baseline_means
 from loanloom.plans import scoring, training
 from loanloom.plans.wide import wide_features
+from loanloom.queries import requests as request_queries
 from loanloom.queries.requests import QUERIES
-from loanloom.schemas import RULE_WEIGHTS
+from loanloom.schemas import CHILD_TABLES, RULE_WEIGHTS
 from loanloom.sources import payload, tables
 from loanloom.sources.adapters import lending_tables
 from loanloom.sources.request_views import requests
@@ -30,6 +31,34 @@ def parse(spark, bodies):
     return payload.parse(spark.createDataFrame(rows, "REQUEST_ID string, body string"))
 
 
+def test_child_rows_of_texts_are_those_of_typed_arrays(spark):
+    rows = [{"CUSTOMER_ID": "7", "DAYS_SINCE_DECISION": d, "LOAN_AMOUNT": a, "CLIENT_TYPE": c, "PRIOR_LOAN_ID": i}
+            for d, a, c, i in ((-3.0, "1e3", "x", 1.5), ("-9", "NaN", None, " 4 "), ("junk", None, 5, 3.0))]
+    bodies = {
+        "dirty": {"customer_profile": profile(), "prior_loan_history": rows, "cash_pos_records": [{}]},
+        "empty": {"customer_profile": profile(), "prior_loan_history": [], "card_activity": None},
+        "odd": {"customer_profile": profile(), "prior_loan_history": [None, {}], "credit_timeline": [{"ACCOUNT_STATUS": 1}]},
+        "rejected": {"prior_loan_history": rows},
+    }
+    sent = spark.createDataFrame([(k, json.dumps(v)) for k, v in bodies.items()], "REQUEST_ID string, body string")
+    typed = payload.accepted(payload.parse(sent))
+    texts = payload.accepted(payload.parse(sent, typed=False))
+    for table in CHILD_TABLES:
+        was, now = payload.child_rows(typed, table), payload.child_rows(texts, table)
+        assert was.dtypes == now.dtypes
+        assert sorted(map(repr, was.collect())) == sorted(map(repr, now.collect()))
+    found = payload.child_rows(texts, "prior_loan_history").filter("REQUEST_ID = 'dirty'").collect()
+    assert {(r["__decision_low"], r["__decision_high"]) for r in found} == {(-9, -3)}
+
+
+def test_staged_requests_keep_their_texts(spark, sf):
+    """Values get their types where a table is read, in generated code, and no profile is stored for child rows."""
+    staged = request_queries._staged(spark, sf)
+    assert "customer_profile" not in staged.columns
+    kinds = {f.dataType.typeName() for t in CHILD_TABLES for f in staged.schema[t].dataType.elementType}
+    assert kinds == {"string"}
+
+
 def test_rejects(spark):
     parsed = parse(
         spark,
