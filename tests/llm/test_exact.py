@@ -6,11 +6,13 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from compare import differences, duck, duck_table, spark_table
 
-from loanloom.llm import bpe, lines, quality, radix, simhash, suffixtree
+from loanloom.llm import bpe, lines, quality, radix, segments, simhash, suffixtree
+from loanloom.llm.arrays import Chunk
 from loanloom.llm.queries import ORACLE, QUERIES, RANKS
 
 
@@ -198,3 +200,28 @@ def test_shared_lines_over_many_partitions(spark, frame):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = brute.shared_lines([(k, t) for k, t in docs])
     assert got == {(k, "\n".join(kept)) for (k, _), kept in want.items()}
+
+
+def test_suffixes_come_in_small_batches():
+    """A chunk of near copies has a suffix for each byte; they leave the task piece by piece."""
+    text = " ".join(random.Random(4).choices(["abc", "de", "f"], k=200_000))
+    bounds = np.array([0, len(text)])
+    found = segments.runs(*segments.byte_symbols(Chunk(0, np.frombuffer(text.encode(), np.uint8), bounds)), 400, 300)
+    whole = segments.expanded(found)
+    pieces = [*segments.expanded_pieces(found, radix.SUFFIXES)]
+    assert len(pieces) > 5 and max(len(run) for run, _ in pieces) <= radix.SUFFIXES
+    for got, wanted in zip(zip(*pieces), whole):
+        assert np.array_equal(np.concatenate(got), wanted)
+    none = segments.runs(np.zeros(3, np.uint64), np.array([0, 3]), 400, 300)
+    assert [*segments.expanded_pieces(none, 5)] == []
+
+    class Frame:
+        schema = {"id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda _: "bigint"})()})}
+
+        def mapInArrow(self, rows, _):
+            return rows
+
+    starts = pa.array([found.start.tolist()], pa.list_(pa.int32()))
+    batch = pa.record_batch([pa.array([1]), pa.array([0], pa.int32()), pa.array([text]), starts], ["id", "version", "body", "starts"])
+    sizes = [b.num_rows for b in radix._suffixes(Frame(), 400, 300)(iter([batch]))]
+    assert max(sizes) <= radix.SUFFIXES and sum(sizes) == len(text) - 399
