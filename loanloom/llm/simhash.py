@@ -201,7 +201,8 @@ def link_classes(prints: DataFrame) -> DataFrame:
         "classes",
     )
     spread = classed.repartition(parts, "print")
-    left, right = (_keyed(spread, i).alias(side) for i, side in enumerate("lr"))
+    # The keys are some 53 times the rows that Spark sizes them by, so neither side is broadcast.
+    left, right = (_keyed(spread, i).alias(side).hint("merge") for i, side in enumerate("lr"))
     apart = F.expr("bit_count(l.print ^ r.print)")
     links = (
         left.join(right, F.expr("l.key = r.key AND l.class <> r.class") & (apart <= RADIUS))

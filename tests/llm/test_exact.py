@@ -102,6 +102,20 @@ def test_links_of_three_bits(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes the keys by the fingerprints they come from, some 53 times too low."""
+    plans, own = [], simhash.components
+
+    def seen(edges, a, b):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return own(edges, a, b)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    prints = spark.createDataFrame([(1 << i,) for i in range(0, 60, 4)], "print long")
+    assert simhash.link_classes(prints).count() == 15
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
+
+
 def test_golay_keys_meet():
     rnd = random.Random(5)
     x = np.array([rnd.getrandbits(64) for _ in range(4000)], np.uint64)
