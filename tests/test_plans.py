@@ -1,11 +1,13 @@
 """The physical plans keep their promises."""
 
 import re
+import time
 
 from loanloom.operators import quality
 from loanloom.operators.blocks import card_activity, cash_pos, credit_summary, credit_timeline
 from loanloom.plans.scoring import payload_features
 from loanloom.plans.wide import feature_blocks, wide_features
+from loanloom.queries import rules
 from loanloom.sources import payload
 from loanloom.sources.adapters import lending_tables
 from loanloom.sources.request_views import requests
@@ -129,3 +131,25 @@ def test_column_profile_of_odd_columns(spark):
     assert (found["n"]["min"], found["n"]["max"], found["n"]["categories"]) == (1.0, 3.0, None)
     none = {r["column"]: r for r in quality.column_profile(rows.filter("false"), "t").collect()}
     assert sorted(none) == ["n"] and none["n"]["mean"] is None
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """Nothing reads them again, and the jobs that follow need the disk."""
+    before = shuffle_files(spark)
+    counts = written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    assert len(counts.collect()) == 7
+    for _ in range(50):  # files go in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+
+
+def test_quality_report_makes_one_block_at_a_time(spark, sf):
+    assert exchanges(plan(rules.quality_report(spark, sf))) == 0
