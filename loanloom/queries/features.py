@@ -139,13 +139,13 @@ def timeline_final(spark, sf):
 
 def wide(spark, sf):
     """All features; the adapter labels lie inside their domains by construction."""
-    out = wide_features(tables(spark, sf), closed_labels=True)
+    out = wide_features(tables(spark, sf), closed_labels=True, one_by_one=True)
     return as_double(single(out, LOOSE + LOOSE_TIMELINE))
 
 
 def wide_features_compat(spark, sf):
     """All features under doubled and lambda names."""
-    out = wide_features(tables(spark, sf), closed_labels=True, compat_names=True)
+    out = wide_features(tables(spark, sf), closed_labels=True, compat_names=True, one_by_one=True)
     return as_double(single(out, LOOSE + LOOSE_TIMELINE))
 
 

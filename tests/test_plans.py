@@ -3,11 +3,13 @@
 import re
 import time
 
+import pytest
+
 from loanloom.operators import quality
 from loanloom.operators.blocks import card_activity, cash_pos, credit_summary, credit_timeline
 from loanloom.plans.scoring import payload_features
 from loanloom.plans.wide import feature_blocks, wide_features
-from loanloom.queries import rules
+from loanloom.queries import features, rules
 from loanloom.sources import payload
 from loanloom.sources.adapters import lending_tables
 from loanloom.sources.request_views import requests
@@ -151,5 +153,18 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert not shuffle_files(spark) - before
 
 
+@pytest.mark.parametrize("query", [features.wide, features.wide_features_compat])
+def test_wide_queries_make_one_block_at_a_time(spark, sf, query):
+    """Only the distinct customers and both sides of the last join are left to move, no raw rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(query(spark, sf))
+        assert exchanges(text) == 3 and "lineitem" not in text
+        assert len(re.findall(r"\bBucketed: true", text)) >= 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_quality_report_makes_one_block_at_a_time(spark, sf):
     assert exchanges(plan(rules.quality_report(spark, sf))) == 0
