@@ -9,7 +9,7 @@ from loanloom.operators import quality
 from loanloom.operators.blocks import card_activity, cash_pos, credit_summary, credit_timeline
 from loanloom.plans.scoring import payload_features
 from loanloom.plans.wide import feature_blocks, wide_features
-from loanloom.queries import features, rules
+from loanloom.queries import features, models, rules
 from loanloom.sources import payload
 from loanloom.sources.adapters import lending_tables
 from loanloom.sources.request_views import requests
@@ -153,9 +153,10 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert not shuffle_files(spark) - before
 
 
-@pytest.mark.parametrize("query", [features.wide, features.wide_features_compat])
-def test_wide_queries_make_one_block_at_a_time(spark, sf, query):
+@pytest.mark.parametrize("query", [features.wide, features.wide_features_compat, models._training_set])
+def test_wide_queries_make_one_block_at_a_time(spark, sf, query, monkeypatch):
     """Only the distinct customers and both sides of the last join are left to move, no raw rows."""
+    monkeypatch.setattr(models.training, "training_set", lambda wide: wide)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
